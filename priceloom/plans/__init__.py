@@ -1,0 +1,6 @@
+"""Registered queries over the driver tables."""
+
+from priceloom.plans import cleaning, statistics  # noqa: F401
+from priceloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -9,7 +9,6 @@ from pyspark.sql.types import StructType
 from priceloom.operators.drift import check_drift
 from priceloom.operators.training import score
 from priceloom.schema import DISCOUNT_FEATURES, INPUT_BOUNDS
-from priceloom.session import ensure_checkpoint_dir
 
 
 def within_bounds(requests: DataFrame, task: str = "discount") -> DataFrame:
@@ -57,7 +56,7 @@ def score_stream(requests: DataFrame, model: PipelineModel, stats: DataFrame | N
     Stateless: there is no watermark and no state to lose. Model and statistics are those of the
     start of the query.
     """
-    checkpoint = checkpoint or f"{ensure_checkpoint_dir(requests.sparkSession)}/score_stream"
+    checkpoint = checkpoint or out.rstrip("/") + "/_checkpoint"
     scored = scored_with_drift(requests, model, stats, features)
     writer = scored.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start(out)
