@@ -9,20 +9,19 @@ from priceloom.schema import COUNT_COLUMNS, NUMERIC, PRICE_COLUMNS, TASKS, TOP_C
 
 def normalise_nulls(df: DataFrame) -> DataFrame:
     """Replace missing-value text by null in every string column."""
-    return df.withColumns({name: missing_to_null(F.col(name)) for name, kind in df.dtypes if kind == "string"})
+    return df.withColumns({name: missing_to_null(name) for name, kind in df.dtypes if kind == "string"})
 
 
 def parse_numbers(df: DataFrame, strict: bool = False) -> DataFrame:
     """Parse the five numeric columns in place.
 
-    They leave a one-row generator, through which the optimizer moves no filter: a later null
-    check reads the parsed values instead of parsing every text a second time.
+    The parsed values pass through a one-row generator, through which the optimizer moves no
+    filter: a later null check reads them instead of parsing every text a second time.
     """
-    parsed = {c: price_to_double(F.col(c), strict) for c in PRICE_COLUMNS}
-    parsed |= {c: digits_to_double(F.col(c), strict) for c in COUNT_COLUMNS}
+    parsed = {c: price_to_double(c, strict) for c in PRICE_COLUMNS}
+    parsed |= {c: digits_to_double(c, strict) for c in COUNT_COLUMNS}
     others = [c for c in df.columns if c not in parsed]
-    row = F.struct(*[value.alias(c) for c, value in parsed.items()])
-    return df.select(*others, F.inline(F.array(row))).select(*df.columns)
+    return df.withColumns(parsed).select(*others, F.inline(F.array(F.struct(*parsed)))).select(*df.columns)
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
@@ -55,4 +54,4 @@ def feature_target(df: DataFrame, task: str, keep: tuple = ()) -> DataFrame:
 
 def with_top_category(df: DataFrame) -> DataFrame:
     """Add the top-level category on the same row."""
-    return df.withColumn(TOP_CATEGORY, top_level(F.col("category")))
+    return df.withColumn(TOP_CATEGORY, top_level("category"))

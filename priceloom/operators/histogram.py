@@ -3,37 +3,49 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from priceloom.functions.scalars import bounded
+from priceloom.operators.quantile import quantile_row
+from priceloom.session import held
 
-def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
+HISTOGRAM_SCHEMA = "bin bigint, bin_start double, bin_end double, count bigint"
+
+
+def histogram(df: DataFrame, column: str, bins: int = 40, low: float | None = None,
+              high: float | None = None) -> DataFrame:
     """Equal-width bins over the column's range: ``(bin, bin_start, bin_end, count)``.
 
     Bins are closed on the left, the last one on both sides; empty bins are kept. A constant
-    column is widened by 0.5 on each side. No rows give no bins. Two passes, both combined
-    before the shuffle, which carries at most ``bins`` rows per task.
+    column is widened by 0.5 on each side. No rows give no bins. ``low`` and ``high`` are
+    quantiles at which the column is clipped first.
+
+    The result is computed at once. Both passes are combined before the shuffle, which carries at
+    most ``bins`` rows per task.
     """
     x = F.col(column).cast("double")
     data = df.select(x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    limits = data.agg(F.min("_x").alias("_min"), F.max("_x").alias("_max")).where(F.col("_min").isNotNull())
-    single = F.col("_min") == F.col("_max")
-    limits = limits.select(
-        F.when(single, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("_lo"),
-        F.when(single, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_hi"),
-    ).withColumn("_step", (F.col("_hi") - F.col("_lo")) / bins)
-
-    def edge(number):
-        return F.when(number == bins, F.col("_hi")).otherwise(F.col("_lo") + number * F.col("_step"))
-
-    # The quotient may land one bin off at an edge, so it is checked against the edges.
-    guess = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_step")), F.lit(bins - 1))
-    down = (F.col("_x") < edge(guess)).cast("long")
-    up = ((F.col("_x") >= edge(guess + 1)) & (guess < bins - 1)).cast("long")
-    counted = data.crossJoin(F.broadcast(limits)).groupBy((guess - down + up).alias("_bin")).agg(
-        F.count("*").alias("_count")
-    )
-    numbers = df.sparkSession.range(bins).withColumnRenamed("id", "bin").crossJoin(F.broadcast(limits))
-    # At most one row per bin on both sides.
-    joined = numbers.join(F.broadcast(counted), F.col("bin") == F.col("_bin"), "left")
-    return joined.select(
-        "bin", edge(F.col("bin")).alias("bin_start"), edge(F.col("bin") + 1).alias("bin_end"),
-        F.coalesce("_count", F.lit(0)).alias("count"),
-    )
+    with held(data) as data:
+        probs = {"low": low or 0.0, "high": 1.0 if high is None else high}
+        if low is None and high is None:
+            limits = data.agg(F.min("_x").alias("low"), F.max("_x").alias("high")).first()
+        else:
+            limits = quantile_row(data, "_x", probs).first()
+        start, end = limits["low"], limits["high"]
+        if start is None:
+            return df.sparkSession.createDataFrame([], HISTOGRAM_SCHEMA)
+        clipped = data.select(bounded(F.col("_x"), F.lit(start), F.lit(end)).alias("_x"))
+        if start == end:
+            start, end = start - 0.5, end + 0.5
+        step = (end - start) / bins
+
+        def edge(number):
+            return F.when(number == bins, F.lit(end)).otherwise(F.lit(start) + number * step)
+
+        # The quotient may land one bin off at an edge, so it is checked against the edges.
+        guess = F.least(F.floor((F.col("_x") - start) / step), F.lit(bins - 1))
+        down = (F.col("_x") < edge(guess)).cast("long")
+        up = ((F.col("_x") >= edge(guess + 1)) & (guess < bins - 1)).cast("long")
+        counted = clipped.groupBy((guess - down + up).alias("bin")).agg(F.count("*").alias("count"))
+        counts = {row["bin"]: row["count"] for row in counted.collect()}
+    edges = [start + i * step for i in range(bins)] + [end]
+    rows = [(i, edges[i], edges[i + 1], counts.get(i, 0)) for i in range(bins)]
+    return df.sparkSession.createDataFrame(rows, HISTOGRAM_SCHEMA)

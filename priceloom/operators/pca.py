@@ -20,6 +20,7 @@ from priceloom.operators.selection import both_sides
 from priceloom.operators.split import IS_TEST, with_split
 from priceloom.operators.summary import running_share
 from priceloom.schema import DISCOUNT_TARGET, KEY, LOADING_LABELS, NUMERIC
+from priceloom.session import held
 
 
 @dataclass
@@ -136,12 +137,11 @@ def component_regression(df: DataFrame, target: str = DISCOUNT_TARGET, columns:
     if fit_on not in ("train", "all"):
         raise ValueError("fit_on is 'train' or 'all'")
     columns = columns or NUMERIC
-    ready = with_split(df, key)
-    scaled = normalize_features(
-        ready, columns, fit_on=ready.where(~F.col(IS_TEST)) if fit_on == "train" else None, suffix="_scaled"
-    )
     names = [c + "_scaled" for c in columns]
-    train, test = both_sides(scaled.select(IS_TEST, *names, F.col(target).alias("_target")), [*names, "_target"])
+    with held(with_split(df, key).select(IS_TEST, *columns, F.col(target).alias("_target"))) as ready:
+        fitted = ready.where(~F.col(IS_TEST)) if fit_on == "train" else ready
+        scaled = normalize_features(ready, columns, fit_on=fitted, suffix="_scaled")
+        train, test = both_sides(scaled, [*names, "_target"])
     seen = train if fit_on == "train" else pooled(train, test)
     f = seen.index(names)
     vectors, ratio = _decompose(seen.cov[np.ix_(f, f)])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from priceloom.functions.scalars import bounded
 from priceloom.operators.joins import join_materialised, lookup_join, materialise_small, with_scalars
+from priceloom.session import held
 
 BINS_PER_OCTAVE = 128
 REFINE_BINS = 4096
@@ -35,13 +36,20 @@ def _closer_bin(v: Column, lo: Column, hi: Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: tuple = ()) -> DataFrame:
-    """One row per group and probability: ``(*by, prob, value)``. Nulls and NaN are skipped."""
+    """One row per group and probability: ``(*by, prob, value)``. Nulls and NaN are skipped.
+
+    The result is computed at once: its passes share one narrow copy of the column.
+    """
     by = list(by)
     keys = by or ["_all"]
     value = F.col(column).cast("double")
     data = df.select(*(by or [F.lit(0).alias("_all")]), value.alias("_v"))
-    data = data.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    with held(data.where(F.col("_v").isNotNull() & ~F.isnan("_v"))) as data:
+        found, _ = materialise_small(_search(data, keys, probs))
+    return found.select(*by, "prob", "value")
+
 
+def _search(data: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     counts = data.groupBy(*keys, _first_bin(F.col("_v")).alias("_bin")).agg(
         F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
@@ -50,29 +58,23 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: tuple =
         "_upto": F.sum("_n").over(in_order),
         "_total": F.sum("_n").over(Window.partitionBy(*keys)),
     })
-    wanted = []
-    for i, p in enumerate(probs):
-        place = F.lit(float(p)) * (F.col("_total") - 1)
-        for side, rank in ((0, F.floor(place)), (1, F.ceil(place))):
-            wanted.append(F.struct(F.lit(i).alias("_i"), F.lit(side).alias("_side"),
-                                   rank.cast("long").alias("_rank"), (place - F.floor(place)).alias("_part")))
-    targets = counts.withColumn("_want", F.explode(F.array(*wanted))).select(
+    wanted = F.expr(f"""flatten(transform(array({', '.join(f"{float(p)!r}D" for p in probs)}), (p, i) -> array(
+        struct(i as _i, 0 as _side, floor(p * (_total - 1)) as _rank, p * (_total - 1) - floor(p * (_total - 1)) as _part),
+        struct(i as _i, 1 as _side, ceil(p * (_total - 1)) as _rank, p * (_total - 1) - floor(p * (_total - 1)) as _part))))""")
+    targets = counts.withColumn("_want", F.explode(wanted)).select(
         *keys, "_want.*", "_n", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_base")
     ).where((F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_base") + F.col("_n")))
     targets, small = materialise_small(targets)
 
-    unresolved = F.col("_lo") < F.col("_hi")
-    while True:
-        wide = targets.where(unresolved & (F.col("_n") > SORT_ROWS))
-        if wide.isEmpty():
-            break
-        targets, small = materialise_small(
-            _narrow(data, wide, small, keys, by_value=False).unionByName(
-                targets.where(~unresolved | (F.col("_n") <= SORT_ROWS)))
-        )
-    rest = targets.where(unresolved)
-    if not rest.isEmpty():
-        targets = _narrow(data, rest, small, keys, by_value=True).unionByName(targets.where(~unresolved))
+    open_bin = F.col("_lo") < F.col("_hi")
+    largest = targets.agg(F.max(F.when(open_bin, F.col("_n")))).first()[0]
+    while largest is not None and largest > SORT_ROWS:
+        wide = open_bin & (F.col("_n") > SORT_ROWS)
+        closer = _narrow(data, targets.where(wide), small, keys, by_value=False)
+        targets, small = materialise_small(closer.unionByName(targets.where(~wide)))
+        largest = targets.agg(F.max(F.when(open_bin, F.col("_n")))).first()[0]
+    if largest is not None:
+        targets = _narrow(data, targets.where(open_bin), small, keys, True).unionByName(targets.where(~open_bin))
 
     def side(number):
         return F.max(F.when(F.col("_side") == number, F.col("_lo")))
@@ -81,8 +83,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: tuple =
     # Equal neighbours are taken as they are, which also keeps infinite values from giving NaN.
     value = F.when(below == above, below).otherwise(below + (above - below) * F.max("_part"))
     prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
-    found = targets.groupBy(*keys, "_i").agg(value.alias("value"))
-    return found.select(*by, prob.alias("prob"), "value")
+    return targets.groupBy(*keys, "_i").agg(value.alias("value")).withColumn("prob", prob)
 
 
 def _narrow(data: DataFrame, targets: DataFrame, small: bool, keys: list[str], by_value: bool) -> DataFrame:

@@ -8,17 +8,23 @@ from priceloom.operators.joins import materialise_small, with_scalars
 from priceloom.operators.ordinal import with_running_total
 from priceloom.operators.quantile import exact_quantiles, quantile_row
 from priceloom.schema import NUMERIC, TOP_CATEGORY
+from priceloom.session import held
 
 
 def kpis(df: DataFrame) -> DataFrame:
-    """Rows, distinct full category paths, mean discount, mean rating and median selling price."""
-    base = df.agg(
-        F.count("*").alias("products"),
-        F.countDistinct("category").alias("categories"),
-        F.avg("discount_percentage").alias("avg_discount"),
-        F.avg("rating").alias("avg_rating"),
-    )
-    return with_scalars(base, quantile_row(df, "discounted_price", {"median_price": 0.5}))
+    """Rows, distinct full category paths, mean discount, mean rating and median selling price.
+
+    Computed at once, as one row: the passes of the median share the columns that the means need.
+    """
+    with held(df.select("category", "discount_percentage", "rating", "discounted_price")) as data:
+        base = data.agg(
+            F.count("*").alias("products"),
+            F.countDistinct("category").alias("categories"),
+            F.avg("discount_percentage").alias("avg_discount"),
+            F.avg("rating").alias("avg_rating"),
+        )
+        row, _ = materialise_small(with_scalars(base, quantile_row(data, "discounted_price", {"median_price": 0.5})))
+    return row
 
 
 def sample_products(df: DataFrame, rows: int = 30) -> DataFrame:

@@ -10,7 +10,7 @@ from priceloom.operators.clean import feature_target
 from priceloom.operators.metrics import evaluate
 from priceloom.operators.split import IS_TEST, in_test, with_split
 from priceloom.schema import KEY, TASKS
-from priceloom.session import ensure_checkpoint_dir
+from priceloom.session import ensure_checkpoint_dir, held
 
 SEED = 42
 # The deepest tree the built-in learners grow; it stands for "no limit".
@@ -74,9 +74,9 @@ def fit_model(train: DataFrame, name: str, features: list[str], target: str,
     """Fit a model by name on every row of ``train``."""
     ensure_checkpoint_dir(train.sparkSession)
     params = model_parameters(name, overrides)
-    rows = train.select(*features, target)
-    stages = [VectorAssembler(inputCols=features, outputCol="_features"), _estimator(rows, name, params, target)]
-    return Pipeline(stages=stages).fit(rows)
+    with held(train.select(*features, target)) as rows:
+        stages = [VectorAssembler(inputCols=features, outputCol="_features"), _estimator(rows, name, params, target)]
+        return Pipeline(stages=stages).fit(rows)
 
 
 def train_model(df: DataFrame, name: str, task: str, overrides: dict | None = None, fit_on: str = "train",
@@ -117,9 +117,9 @@ def train_linear_regression(df: DataFrame, features: list[str], target: str, tes
 
 
 def _fit_and_evaluate(df, name, features, target, test_size, overrides, key):
-    ready = with_split(df.select(key, *features, target), key, test_size)
-    model = fit_model(ready.where(~F.col(IS_TEST)), name, features, target, overrides)
-    return model, evaluate_model(model, ready.where(F.col(IS_TEST)), target)
+    with held(with_split(df, key, test_size).select(IS_TEST, *features, target)) as ready:
+        model = fit_model(ready.where(~F.col(IS_TEST)), name, features, target, overrides)
+        return model, evaluate_model(model, ready.where(F.col(IS_TEST)), target)
 
 
 def evaluate_model(model: PipelineModel, df: DataFrame, target: str) -> dict:

@@ -117,14 +117,14 @@ def g1_hashed_vectors(spark, folder):
 @query("b1_clean_price", with_parsed("select product_id, actual_price, discounted_price from listings_parsed"))
 def b1_clean_price(spark, folder):
     return raw_listings(spark, folder).select(
-        "product_id", *[price_to_double(F.col(c)).alias(c) for c in ("actual_price", "discounted_price")])
+        "product_id", *[price_to_double(c).alias(c) for c in ("actual_price", "discounted_price")])
 
 
 @query("b2_clean_numeric", with_parsed(
     "select product_id, rating, rating_count, discount_percentage from listings_parsed"))
 def b2_clean_numeric(spark, folder):
     return raw_listings(spark, folder).select(
-        "product_id", *[digits_to_double(F.col(c)).alias(c) for c in ("rating", "rating_count", "discount_percentage")])
+        "product_id", *[digits_to_double(c).alias(c) for c in ("rating", "rating_count", "discount_percentage")])
 
 
 @query("b3_drop_incomplete", with_parsed("""

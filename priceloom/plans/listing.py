@@ -23,21 +23,18 @@ def raw_listings(spark: SparkSession, folder: str) -> DataFrame:
     """Listing text with planted nulls and junk, so that cleaning has work to do."""
     lines = spread(table(spark, folder, "lineitem"), "l_orderkey")
     parts = table(spark, folder, "part")
-    order, price, off = F.col("l_orderkey"), F.col("l_extendedprice"), F.col("l_discount")
-    cents = F.round(price * 100).cast("bigint")
-    stars = F.format_string("%s", ((10 + F.col("l_quantity").cast("int") % 41) / F.lit(10.0)).cast("string"))
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents).alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.when(order % 97 != 0, F.concat_ws("|", "p_type", "p_brand", "p_name")).alias("category"),
-        F.concat(F.lit("₹"), F.format_number(F.floor(price * (1 - off * 8)), 0)).alias("discounted_price"),
-        F.concat(F.lit("₹"), F.format_number(price, 2)).alias("actual_price"),
-        F.when(order % 101 != 0, F.concat(F.round(off * 800).cast("int").cast("string"), F.lit("%"))).alias(
-            "discount_percentage"),
-        F.when(order % 89 == 0, "|").otherwise(stars).alias("rating"),
-        F.format_number((F.col("l_suppkey") * 7919 + F.col("l_partkey") * 31) % 426900, 0).alias("rating_count"),
-        F.concat_ws(" ", "p_name", "p_brand").alias("about_product"),
-        F.concat_ws(" ", "p_type", "p_name").alias("review_content"),
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) "
+        "as product_id",
+        "p_name as product_name",
+        "if(l_orderkey % 97 = 0, null, concat_ws('|', p_type, p_brand, p_name)) as category",
+        "concat('₹', format_number(floor(l_extendedprice * (1 - l_discount * 8)), 0)) as discounted_price",
+        "concat('₹', format_number(l_extendedprice, 2)) as actual_price",
+        "if(l_orderkey % 101 = 0, null, concat(cast(round(l_discount * 800) as int), '%')) as discount_percentage",
+        "if(l_orderkey % 89 = 0, '|', cast((10 + cast(l_quantity as int) % 41) / 10.0D as string)) as rating",
+        "format_number((l_suppkey * 7919 + l_partkey * 31) % 426900, 0) as rating_count",
+        "concat_ws(' ', p_name, p_brand) as about_product",
+        "concat_ws(' ', p_type, p_name) as review_content",
     )
 
 

@@ -198,7 +198,7 @@ def d6_histogram_rating(spark, folder):
 clipped as (select least(discounted_price, (select quantile_cont(discounted_price, 0.97) from listings)) as price
             from listings)"""))
 def d6_histogram_clipped_price(spark, folder):
-    return rounded(histogram(clip_upper(listings(spark, folder), "discounted_price", 0.97), "discounted_price", 40))
+    return rounded(histogram(listings(spark, folder), "discounted_price", 40, high=0.97))
 
 
 @query("d7_reference_line", with_listings(f"select {q('avg(discount_percentage)')} as mean from listings"))
@@ -482,7 +482,7 @@ def d23_residual_histogram(spark, folder):
 clipped as (select greatest(least(residual, (select quantile_cont(residual, 0.98) from residuals)),
                             (select quantile_cont(residual, 0.02) from residuals)) as residual from residuals)"""))
 def d23_clipped_residual_histogram(spark, folder):
-    return rounded(histogram(clip_between(_residuals(spark, folder), "residual", 0.02, 0.98), "residual", 40))
+    return rounded(histogram(_residuals(spark, folder), "residual", 40, 0.02, 0.98))
 
 
 @query("d24_axis_range", with_listings(f"""

@@ -1,7 +1,9 @@
 """Session settings and the reliable checkpoint folder."""
 
 import tempfile
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,3 +48,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, fixing its rows and partitions."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def held(df: DataFrame):
+    """Keep the rows of ``df`` on the executors, in memory or on disk, for the passes of one operator.
+
+    For the few narrow columns that an operator reads more than once; a lost executor's share is
+    computed again from the source.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
