@@ -58,8 +58,9 @@ def one_hot_encode(df: DataFrame) -> tuple[DataFrame, list[str]]:
     names = [r[0] for r in df.select(TOP_CATEGORY).distinct().limit(MAX_ONE_HOT_COLUMNS + 1).collect()]
     if len(names) > MAX_ONE_HOT_COLUMNS:
         raise ValueError(f"more than {MAX_ONE_HOT_COLUMNS} categories: use one_hot_vector")
-    columns = {f"cat_{n}": F.when(F.col(TOP_CATEGORY) == n, 1.0).otherwise(0.0) for n in sorted(names)}
-    return df.withColumns(columns), list(columns)
+    flags = [F.when(F.col(TOP_CATEGORY) == n, 1.0).otherwise(0.0).alias(f"cat_{n}") for n in sorted(names)]
+    # A plain select: names that differ only in case are distinct categories.
+    return df.select("*", *flags), [f"cat_{n}" for n in sorted(names)]
 
 
 def one_hot_vector(df: DataFrame) -> tuple[DataFrame, list[str]]:

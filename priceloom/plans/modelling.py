@@ -89,30 +89,26 @@ def e4_ridge_regression_price(spark, folder):
     return _coefficients(spark, folder, "Ridge Regression", "price")
 
 
-def _holdout_sql(task, penalty="0"):
+def _holdout_sql(task, digits, penalty="0"):
     y = TASKS[task][1]
     return with_listings(f"""
-select product_id, {y} as actual, {q(_predicted(task), 4)} as prediction from test, line""",
+select product_id, {q(y, digits)} as actual, {q(_predicted(task), digits)} as prediction from test, line""",
                          _line_ctes(task, penalty=penalty))
 
 
-def _holdout(spark, folder, name, task):
+def _holdout(spark, folder, name, task, digits):
     found = holdout_predictions(listings(spark, folder), name, task)
-    return rounded(found.select("product_id", "actual", "prediction"), 4)
+    return rounded(found.select("product_id", "actual", "prediction"), digits)
 
 
-def _holdout_actual_rounded(sql):
-    return f"select product_id, {q('actual', 4)} as actual, prediction from ({sql})"
-
-
-@query("e9_holdout_price", _holdout_actual_rounded(_holdout_sql("price")))
+@query("e9_holdout_price", _holdout_sql("price", 2))
 def e9_holdout_price(spark, folder):
-    return _holdout(spark, folder, "Linear Regression", "price")
+    return _holdout(spark, folder, "Linear Regression", "price", 2)
 
 
-@query("e9_holdout_discount_ridge", _holdout_actual_rounded(_holdout_sql("discount", "1.0 / n")))
+@query("e9_holdout_discount_ridge", _holdout_sql("discount", 4, "1.0 / n"))
 def e9_holdout_discount_ridge(spark, folder):
-    return _holdout(spark, folder, "Ridge Regression", "discount")
+    return _holdout(spark, folder, "Ridge Regression", "discount", 4)
 
 
 def _quality_sql(task, source="train"):

@@ -11,7 +11,7 @@ def _value(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return float(f"{v:.10g}") + 0.0
+        return v + 0.0
     if isinstance(v, dict):
         return tuple(sorted((str(k), _value(x)) for k, x in v.items()))
     if hasattr(v, "asDict"):
