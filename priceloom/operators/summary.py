@@ -1,5 +1,6 @@
 """KPIs, per-feature tables and per-category summaries."""
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,11 +108,14 @@ def distribution_summary(df: DataFrame, columns: list[str] | None = None) -> Dat
 def percentile_rank(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """Percentage of rows at or below each distinct ``value`` of a table.
 
-    Both sides are reduced to value counts, put in one order, and summed up to each value: no
-    row is compared with every asked value.
+    A short list of values cuts the column into buckets that are counted in one pass, without
+    comparing every row with every value. For a long list both sides are reduced to value counts,
+    put in one order, and summed up to each value.
     """
     data = df.select(F.col(column).cast("double").alias("value")).where(F.col("value").isNotNull())
-    asked, _ = materialise_small(values.select(F.col("value").cast("double")).distinct())
+    asked, small = materialise_small(values.select(F.col("value").cast("double")).where("not isnan(value)").distinct())
+    if small:
+        return _bucketed_rank(data, sorted(r["value"] for r in asked.where("value is not null").collect()))
     both = (
         data.groupBy("value").agg(F.count("*").alias("_n"), F.lit(0).alias("_asked"))
         .unionByName(asked.select("value", F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_asked")))
@@ -123,6 +127,26 @@ def percentile_rank(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     return with_scalars(summed, total).select("value", share.alias("percent"))
 
 
+def _bucketed_rank(data: DataFrame, asked: list[float]) -> DataFrame:
+    """Buckets are closed on the left, so the negated column is cut at the negated values."""
+    cuts = sorted({-v for v in asked if abs(v) != float("inf")})
+    infinite = float("inf")
+    bucketizer = Bucketizer(splits=[-infinite, *(cuts or [0.0]), infinite], inputCol="_y", outputCol="_bucket",
+                            handleInvalid="keep")
+    cut = bucketizer.transform(data.withColumn("_y", -F.col("value")))
+    lowest, missing = F.col("value") == -infinite, F.isnan("value")
+    counts = cut.groupBy(F.when(missing, -2.0).when(lowest, -1.0).otherwise(F.col("_bucket")).alias("b")).agg(
+        F.count("*").alias("n")).collect()
+    counts = {int(r["b"]): r["n"] for r in counts}
+    total, lows = sum(counts.values()), counts.get(-1, 0)
+    upto, running = {infinite: total - counts.get(-2, 0), -infinite: lows}, lows
+    for bucket in range(len(cuts), 0, -1):
+        running += counts.get(bucket, 0)
+        upto[-cuts[bucket - 1]] = running
+    rows = [(v, 100.0 * upto[v] / total if total else None) for v in asked]
+    return data.sparkSession.createDataFrame(rows, "value double, percent double")
+
+
 def points_below_cap(df: DataFrame, actual: str, predicted: str, prob: float = 0.97) -> DataFrame:
     """Actual and predicted values, both at or below a quantile of the actual values."""
     capped = with_scalars(df, quantile_row(df, actual, {"_cap": prob}))

@@ -1,5 +1,7 @@
 """Regression models by name: training, scoring, hold-out quality, what a model relies on."""
 
+import json
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -33,11 +35,12 @@ PARAMETER_RANGES = {
 }
 
 
-def model_parameters(name: str, overrides: dict | None = None) -> dict:
-    """Defaults of a model with checked overrides on top."""
+def model_parameters(name: str, overrides: dict | str | None = None) -> dict:
+    """Defaults of a model with checked overrides, a dict or its JSON text, on top."""
     if name not in MODELS:
         raise ValueError(f"unknown model {name!r}: choose one of {', '.join(MODELS)}")
-    merged = {**MODELS[name], **(overrides or {})}
+    given = json.loads(overrides) if isinstance(overrides, str) else overrides or {}
+    merged = {**MODELS[name], **given}
     for key, value in merged.items():
         if key not in PARAMETER_RANGES[name]:
             raise ValueError(f"{name} has no parameter {key!r}")
@@ -70,7 +73,7 @@ def _estimator(train: DataFrame, name: str, params: dict, target: str):
 
 
 def fit_model(train: DataFrame, name: str, features: list[str], target: str,
-              overrides: dict | None = None) -> PipelineModel:
+              overrides: dict | str | None = None) -> PipelineModel:
     """Fit a model by name on every row of ``train``."""
     ensure_checkpoint_dir(train.sparkSession)
     params = model_parameters(name, overrides)
@@ -79,7 +82,7 @@ def fit_model(train: DataFrame, name: str, features: list[str], target: str,
         return Pipeline(stages=stages).fit(rows)
 
 
-def train_model(df: DataFrame, name: str, task: str, overrides: dict | None = None, fit_on: str = "train",
+def train_model(df: DataFrame, name: str, task: str, overrides: dict | str | None = None, fit_on: str = "train",
                 key: str = KEY) -> PipelineModel:
     """Fit a model for a task (``discount`` or ``price``) on the training side, or on ``all`` rows."""
     if fit_on not in ("train", "all"):
@@ -94,7 +97,7 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df).drop("_features")
 
 
-def holdout_predictions(df: DataFrame, name: str, task: str, overrides: dict | None = None, fit_on: str = "train",
+def holdout_predictions(df: DataFrame, name: str, task: str, overrides: dict | str | None = None, fit_on: str = "train",
                         key: str = KEY) -> DataFrame:
     """Test rows with ``actual`` and ``prediction``; ``fit_on='all'`` lets the model see them too."""
     model = train_model(df, name, task, overrides, fit_on, key)

@@ -12,6 +12,7 @@ from priceloom.plans.listing import listings, spread, table, with_listings
 from priceloom.plans.registry import q, query, rounded, shown
 from priceloom.plans.workflows import question_prompts
 from priceloom.schema import DISCOUNT_FEATURES, DISCOUNT_TARGET
+from priceloom.sources.vectors import read_vectors, write_vectors
 from priceloom.streaming.scoring import read_requests, score_stream, scored_with_drift
 
 # ── Drift: statistics from the cheaper listings, checked against all of them ─
@@ -166,5 +167,6 @@ def g6_question_prompts(spark, folder):
     asked = table(spark, folder, "conversations").where("role = 'user'")
     asked = asked.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("question"))
     documents = spread(table(spark, folder, "documents"), "doc_id")
-    vectors = hashed_vectors(documents.select("doc_id", F.col("text").alias("document")), "document")
-    return question_prompts(asked, vectors)
+    path = scratch(spark, "vectors")
+    write_vectors(hashed_vectors(documents.withColumnRenamed("text", "document"), "document"), path)
+    return question_prompts(asked, read_vectors(spark, path))

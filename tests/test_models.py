@@ -83,6 +83,7 @@ def test_save_and_load(spark, linear_data, tmp_path):
 def test_parameters():
     assert model_parameters("Random Forest")["n_estimators"] == 200
     assert model_parameters("Ridge Regression", {"alpha": 5.0}) == {"alpha": 5.0}
+    assert model_parameters("Gradient Boosting", '{"n_estimators": 100}')["n_estimators"] == 100
     for name, overrides in [("Nearest", {}), ("Linear Regression", {"alpha": 1.0}), ("Ridge Regression", {"alpha": 0.0}),
                             ("Gradient Boosting", {"max_depth": 11}), ("Random Forest", {"n_estimators": 501})]:
         with pytest.raises(ValueError):

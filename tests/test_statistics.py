@@ -273,11 +273,14 @@ def test_row_arithmetic(spark):
     assert np.isnan(got[0]) and got[1:] == [None, 100.0, 0.0]
 
 
-def test_percentile_rank(spark):
-    data = column(spark, np.arange(10.0))
-    asked = spark.createDataFrame([(-1.0,), (0.0,), (4.5,), (9.0,), (4.5,)], "value double")
+@pytest.mark.parametrize("limit", [100_000, 1])
+def test_percentile_rank(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+    inf = float("inf")
+    data = column(spark, [*np.arange(8.0), 3.0, -inf])
+    asked = spark.createDataFrame([(-1.0,), (0.0,), (-0.0,), (3.0,), (4.5,), (7.0,), (4.5,), (inf,), (-inf,)], "value double")
     got = {r.value: r.percent for r in percentile_rank(data, "x", asked).collect()}
-    assert got == {-1.0: 0.0, 0.0: 10.0, 4.5: 50.0, 9.0: 100.0}
+    assert got == {-inf: 10.0, -1.0: 10.0, 0.0: 20.0, 3.0: 60.0, 4.5: 70.0, 7.0: 100.0, inf: 100.0}
 
 
 def test_summary_of_nothing(spark, small_listings):
