@@ -99,23 +99,28 @@ def category_cross_correlation(df: DataFrame, columns: list[str] | None = None)
     """Correlation of every category's 0/1 indicator with every numeric column.
 
     For an indicator with share p, the covariance with x is p (mean of x inside - mean of x), so
-    counts and means per category are enough: no indicator column is made.
+    counts, means and variances per category are enough: no indicator column is made, and the
+    listings are read once.
     """
     columns = columns or NUMERIC
-    ready = with_top_category(df)
-    inside = ready.groupBy(TOP_CATEGORY).agg(
-        F.count("*").alias("_n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]
-    )
-    total = df.agg(F.count("*").alias("_all"), *[F.avg(c).alias(f"g{i}") for i, c in enumerate(columns)],
-                   *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)])
+    d = range(len(columns))
+    groups, _ = materialise_small(with_top_category(df).groupBy(TOP_CATEGORY).agg(
+        F.count("*").alias("_n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
+    ))
+    total = groups.agg(F.sum("_n").alias("_all"), *[(F.sum(F.col("_n") * F.col(f"m{i}")) / F.sum("_n")).alias(f"g{i}")
+                                                    for i in d])
+    with_means = groups.crossJoin(F.broadcast(total))
+    spreads = [(F.col(f"m{i}") - F.col(f"g{i}")) for i in d]
+    deviations = with_means.agg(*[
+        F.sqrt(F.sum(F.col("_n") * (F.col(f"v{i}") + spreads[i] * spreads[i])) / F.max("_all")).alias(f"s{i}") for i in d
+    ])
     share = F.col("_n") / F.col("_all")
-    spread = F.sqrt(share * (1 - share))
-    cells = [
-        F.struct(F.lit(c).alias("feature"),
-                 _pearson(share * (F.col(f"m{i}") - F.col(f"g{i}")), spread, F.col(f"s{i}")).alias("r"))
-        for i, c in enumerate(columns)
-    ]
-    return inside.crossJoin(F.broadcast(total)).select(F.col(TOP_CATEGORY).alias("category"), F.inline(F.array(*cells)))
+    indicator = F.sqrt(share * (1 - share))
+    cells = [F.struct(F.lit(c).alias("feature"), _pearson(share * spreads[i], indicator, F.col(f"s{i}")).alias("r"))
+             for i, c in enumerate(columns)]
+    joined = with_means.crossJoin(F.broadcast(deviations))
+    return joined.select(F.col(TOP_CATEGORY).alias("category"), F.inline(F.array(*cells)))
 
 
 def target_correlations(matrix: DataFrame, target: str = "discount_percentage") -> DataFrame:

@@ -16,8 +16,8 @@ SALTS = 64
 def materialise_small(df: DataFrame) -> tuple[DataFrame, bool]:
     """Compute ``df`` once and say whether it is proven small.
 
-    At most ``BROADCAST_ROWS + 1`` rows reach the driver. A larger table is written to the
-    checkpoint folder instead, so that it is not computed a second time.
+    At most ``BROADCAST_ROWS + 1`` rows reach the driver. A table found to be larger is written to
+    the checkpoint folder, so that the joins that follow do not compute it again.
     """
     head = df.limit(BROADCAST_ROWS + 1).toArrow()
     if head.num_rows <= BROADCAST_ROWS and head.nbytes <= BROADCAST_BYTES:

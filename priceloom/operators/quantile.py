@@ -7,7 +7,7 @@ closely. Every pass is a partial aggregation; what is shuffled is bin counts, ne
 a hot group.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceloom.functions.scalars import bounded
@@ -16,23 +16,17 @@ from priceloom.session import held
 
 BINS_PER_OCTAVE = 128
 REFINE_BINS = 4096
-# A bin with at most this many rows is resolved by value counts.
-SORT_ROWS = 200_000
+# The rows of a bin are sorted in one task when there are at most this many.
+SORT_ROWS = 100_000
 
+# A bin number that rises with the value and needs no knowledge of the data.
+_FIRST_BIN = f"""case when _v = 0 then 0D when abs(_v) = double('infinity') then sign(_v) * 1e9D
+    else sign(_v) * (1e6D + floor(log2(abs(_v)) * {BINS_PER_OCTAVE})) end"""
 
-def _first_bin(v: Column) -> Column:
-    """A bin number that rises with ``v`` and needs no knowledge of the data."""
-    size = F.lit(1e6) + F.floor(F.log2(F.abs(v)) * BINS_PER_OCTAVE)
-    size = F.when(F.abs(v) == F.lit(float("inf")), F.lit(1e9)).otherwise(size)
-    return F.when(v == 0.0, F.lit(0.0)).when(v > 0.0, size).otherwise(-size)
-
-
-def _closer_bin(v: Column, lo: Column, hi: Column) -> Column:
-    """Equal-width bin of ``v`` in [lo, hi]; both ends have a bin of their own, so bins always shrink."""
-    width = hi - lo
-    share = F.least(F.greatest((v - lo) / width, F.lit(0.0)), F.lit(1.0))
-    middle = F.when(width == F.lit(float("inf")), F.lit(1.0)).otherwise(1 + F.floor(share * (REFINE_BINS - 3)))
-    return F.when(v <= lo, F.lit(0.0)).when(v >= hi, F.lit(REFINE_BINS - 1.0)).otherwise(middle.cast("double"))
+# An equal-width bin in [_from, _to]. Both ends have a bin of their own, so bins always shrink.
+_CLOSER_BIN = f"""case when _v <= _from then 0 when _v >= _to then {REFINE_BINS - 1}
+    when _to - _from = double('infinity') then 1
+    else 1 + floor(least((_v - _from) / (_to - _from), 1D) * {REFINE_BINS - 3}) end"""
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: tuple = ()) -> DataFrame:
@@ -42,73 +36,87 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: tuple =
     """
     by = list(by)
     keys = by or ["_all"]
-    value = F.col(column).cast("double")
-    data = df.select(*(by or [F.lit(0).alias("_all")]), value.alias("_v"))
-    with held(data.where(F.col("_v").isNotNull() & ~F.isnan("_v"))) as data:
-        found, _ = materialise_small(_search(data, keys, probs))
+    value = F.col(column).cast("double").alias("_v")
+    data = df.select(*(by or [F.lit(0).alias("_all")]), value).where("_v is not null and not isnan(_v)")
+    with held(data) as data:
+        found, _ = materialise_small(_search(data, keys, [float(p) for p in probs]))
     return found.select(*by, "prob", "value")
 
 
 def _search(data: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    counts = data.groupBy(*keys, _first_bin(F.col("_v")).alias("_bin")).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    in_order = Window.partitionBy(*keys).orderBy("_bin")
-    counts = counts.withColumns({
-        "_upto": F.sum("_n").over(in_order),
-        "_total": F.sum("_n").over(Window.partitionBy(*keys)),
-    })
-    wanted = F.expr(f"""flatten(transform(array({', '.join(f"{float(p)!r}D" for p in probs)}), (p, i) -> array(
-        struct(i as _i, 0 as _side, floor(p * (_total - 1)) as _rank, p * (_total - 1) - floor(p * (_total - 1)) as _part),
-        struct(i as _i, 1 as _side, ceil(p * (_total - 1)) as _rank, p * (_total - 1) - floor(p * (_total - 1)) as _part))))""")
-    targets = counts.withColumn("_want", F.explode(wanted)).select(
-        *keys, "_want.*", "_n", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_base")
-    ).where((F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_base") + F.col("_n")))
+    names = [f"`{k}`" for k in keys]
+    group = ", ".join(names)
+    listed = ", ".join(f"{p!r}D" for p in probs)
+    counts = data.groupBy(*keys, F.expr(_FIRST_BIN).alias("_bin")).agg(
+        F.expr("count(*)").alias("_n"), F.expr("min(_v)").alias("_lo"), F.expr("max(_v)").alias("_hi"))
+    # Every probability asks for the values at the ranks below and above its place.
+    targets = counts.selectExpr(
+        *names, "_n", "_lo", "_hi", f"sum(_n) over (partition by {group} order by _bin) - _n as _base",
+        f"sum(_n) over (partition by {group}) as _total",
+    ).selectExpr(
+        *names, "_n", "_lo", "_hi", "_base",
+        f"""explode(flatten(transform(transform(array({listed}), p -> p * (_total - 1)), (x, i) -> array(
+            struct(i as _i, 0 as _side, floor(x) as _rank, x - floor(x) as _part),
+            struct(i as _i, 1 as _side, ceil(x) as _rank, x - floor(x) as _part))))) as _want""",
+    ).selectExpr(*names, "_want.*", "_n", "_lo", "_hi", "_base").where("_rank >= _base and _rank < _base + _n")
     targets, small = materialise_small(targets)
 
-    open_bin = F.col("_lo") < F.col("_hi")
-    largest = targets.agg(F.max(F.when(open_bin, F.col("_n")))).first()[0]
+    open_bin, wide = "_lo < _hi", f"_lo < _hi and _n > {SORT_ROWS}"
+    widest = F.expr(f"max(if({open_bin}, _n, null))")
+    largest = targets.agg(widest).first()[0]
     while largest is not None and largest > SORT_ROWS:
-        wide = open_bin & (F.col("_n") > SORT_ROWS)
-        closer = _narrow(data, targets.where(wide), small, keys, by_value=False)
-        targets, small = materialise_small(closer.unionByName(targets.where(~wide)))
-        largest = targets.agg(F.max(F.when(open_bin, F.col("_n")))).first()[0]
+        closer = _closer(data, targets.where(wide), small, keys)
+        targets, small = materialise_small(closer.unionByName(targets.where(f"not ({wide})")))
+        largest = targets.agg(widest).first()[0]
     if largest is not None:
-        targets = _narrow(data, targets.where(open_bin), small, keys, True).unionByName(targets.where(~open_bin))
-
-    def side(number):
-        return F.max(F.when(F.col("_side") == number, F.col("_lo")))
+        targets = _sorted(data, targets.where(open_bin), small, keys).unionByName(targets.where(f"not ({open_bin})"))
 
-    below, above = side(0), side(1)
     # Equal neighbours are taken as they are, which also keeps infinite values from giving NaN.
-    value = F.when(below == above, below).otherwise(below + (above - below) * F.max("_part"))
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_i") + 1)
-    return targets.groupBy(*keys, "_i").agg(value.alias("value")).withColumn("prob", prob)
+    return targets.groupBy(*keys, "_i").agg(
+        F.expr("max(if(_side = 0, _lo, null))").alias("_below"), F.expr("max(if(_side = 1, _lo, null))").alias("_above"),
+        F.expr("max(_part)").alias("_part"),
+    ).selectExpr(*names, f"element_at(array({listed}), _i + 1) as prob",
+                 "if(_below = _above, _below, _below + (_above - _below) * _part) as value")
 
 
-def _narrow(data: DataFrame, targets: DataFrame, small: bool, keys: list[str], by_value: bool) -> DataFrame:
-    """Look closer at the bins that hold the targets, and give each target its new, smaller bin."""
-    bounds = targets.groupBy(*keys).agg(F.collect_set(F.struct("_lo", "_hi")).alias("_bounds"))
+def _inside(data: DataFrame, targets: DataFrame, small: bool, keys: list[str]) -> DataFrame:
+    """The rows that lie in a target's bin, with the bin's ends."""
+    names = [f"`{k}`" for k in keys]
+    bounds = targets.groupBy(*keys).agg(F.expr("collect_set(struct(_lo, _hi))").alias("_bounds"))
     joined = join_materialised(data, bounds, small, keys, how="inner")
-    v = F.col("_v")
-    inside = F.filter("_bounds", lambda b: (v >= b["_lo"]) & (v <= b["_hi"]))
-    picked = joined.select(*keys, "_v", F.explode(inside).alias("_b")).select(
-        *keys, "_v", F.col("_b._lo").alias("_from"), F.col("_b._hi").alias("_to")
-    )
-    bin_of = v if by_value else _closer_bin(v, F.col("_from"), F.col("_to"))
-    counts = picked.groupBy(*keys, "_from", "_to", bin_of.alias("_bin")).agg(
-        F.count("*").alias("_m"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
-    )
-    upto = F.sum("_m").over(Window.partitionBy(*keys, "_from", "_to").orderBy("_bin"))
-    counts = counts.withColumn("_upto", upto).withColumnsRenamed({k: f"_c_{k}" for k in keys})
-    match = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]
-    start = F.col("_base") + F.col("_upto") - F.col("_m")
-    held = (F.col("_rank") >= start) & (F.col("_rank") < start + F.col("_m"))
-    joined = targets.join(counts, [*match, F.col("_lo") == F.col("_from"), F.col("_hi") == F.col("_to"), held])
-    return joined.select(
-        *keys, "_i", "_side", "_rank", "_part", F.col("_m").alias("_n"),
-        F.col("_min").alias("_lo"), F.col("_max").alias("_hi"), start.alias("_base"),
-    )
+    picked = joined.selectExpr(*names, "_v", "explode(filter(_bounds, b -> _v >= b._lo and _v <= b._hi)) as _b")
+    return picked.selectExpr(*names, "_v", "_b._lo as _from", "_b._hi as _to")
+
+
+def _matching(targets: DataFrame, bins: DataFrame, keys: list[str], condition: str = "true") -> DataFrame:
+    """Targets with what was found out about their bins."""
+    same = " and ".join(f"`{k}` <=> `_c_{k}`" for k in keys)
+    renamed = bins.withColumnsRenamed({k: f"_c_{k}" for k in keys})
+    return targets.join(renamed, F.expr(f"{same} and _lo = _from and _hi = _to and {condition}"))
+
+
+def _closer(data: DataFrame, targets: DataFrame, small: bool, keys: list[str]) -> DataFrame:
+    """Cut the targets' bins into smaller ones, and give each target the one that holds its rank."""
+    names = [f"`{k}`" for k in keys]
+    counts = _inside(data, targets, small, keys).groupBy(*keys, "_from", "_to", F.expr(_CLOSER_BIN).alias("_bin")).agg(
+        F.expr("count(*)").alias("_m"), F.expr("min(_v)").alias("_min"), F.expr("max(_v)").alias("_max"))
+    group = ", ".join([*names, "_from", "_to"])
+    counts = counts.selectExpr(
+        *names, "_from", "_to", "_m", "_min", "_max", f"sum(_m) over (partition by {group} order by _bin) - _m as _before")
+    held_rank = "_rank >= _base + _before and _rank < _base + _before + _m"
+    return _matching(targets, counts, keys, held_rank).selectExpr(
+        *names, "_i", "_side", "_rank", "_part", "_m as _n", "_min as _lo", "_max as _hi", "_base + _before as _base")
+
+
+def _sorted(data: DataFrame, targets: DataFrame, small: bool, keys: list[str]) -> DataFrame:
+    """Resolve targets whose bins hold at most ``SORT_ROWS`` rows."""
+    names = [f"`{k}`" for k in keys]
+    values = _inside(data, targets, small, keys).groupBy(*keys, "_from", "_to").agg(
+        F.expr("sort_array(collect_list(_v))").alias("_values"))
+    found = _matching(targets, values, keys).selectExpr(
+        *names, "_i", "_side", "_rank", "_part", "_base", "_values[cast(_rank - _base as int)] as _value")
+    return found.selectExpr(
+        *names, "_i", "_side", "_rank", "_part", "1L as _n", "_value as _lo", "_value as _hi", "_base")
 
 
 def quantile_row(df: DataFrame, column: str, named: dict[str, float]) -> DataFrame:

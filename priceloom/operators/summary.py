@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from priceloom.operators.clean import with_top_category
+from priceloom.operators.histogram import feature_histograms
 from priceloom.operators.joins import materialise_small, with_scalars
 from priceloom.operators.ordinal import with_running_total
 from priceloom.operators.quantile import exact_quantiles, quantile_row
@@ -105,6 +106,11 @@ def distribution_summary(df: DataFrame, columns: list[str] | None = None) -> Dat
     )
 
 
+def distribution_histograms(df: DataFrame, columns: list[str] | None = None, bins: int = 40) -> DataFrame:
+    """A histogram per feature, with the top 2 % clipped."""
+    return feature_histograms(df, columns or NUMERIC, bins, 0.98)
+
+
 def percentile_rank(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """Percentage of rows at or below each distinct ``value`` of a table.
 

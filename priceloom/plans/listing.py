@@ -10,18 +10,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give every core work when the files have fewer splits than there are cores.
 
     A table with many splits, as any large one has, is returned unchanged and is not shuffled.
+    Together the keys should tell rows apart, so that no share is larger than the others.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
 def raw_listings(spark: SparkSession, folder: str) -> DataFrame:
     """Listing text with planted nulls and junk, so that cleaning has work to do."""
-    lines = spread(table(spark, folder, "lineitem"), "l_orderkey")
+    lines = spread(table(spark, folder, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
     parts = table(spark, folder, "part")
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) "

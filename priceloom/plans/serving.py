@@ -138,6 +138,25 @@ def g3_neighbours_per_question(spark, folder):
     return rounded(_neighbours(spark, folder, top_k=1 + F.col("label") % 4), 5)
 
 
+@query("g5_short_corpus", f"""
+with parts as (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings),
+means as (select label, i, avg(x::double) as m from parts group by all),
+centres as (select label as doc_id, list(m order by i) as centre from means group by all),
+ranked as (select vec_id as query_id, doc_id, pow(list_distance(embedding::double[], centre), 2) as distance
+           from embeddings, centres)
+select query_id, row_number() over (partition by query_id order by distance, doc_id) as rank, doc_id,
+       {q('distance', 5)} as distance from ranked""")
+def g5_short_corpus(spark, folder):
+    """More neighbours are asked for than the corpus, one mean vector per label, has rows."""
+    vectors = _vectors(spark, folder)
+    means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(
+        F.avg(F.col("x").cast("double")).alias("m"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
+    centres = means.groupBy(F.col("label").alias("doc_id")).agg(F.transform(ordered, lambda p: p["m"]).alias("embedding"))
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    return rounded(nearest_documents(asked, centres, 1000), 5)
+
+
 @query("g4_neighbour_texts", f"""
 with {_RANKED} select query_id, rank, text as document
 from ranked join documents using (doc_id) where rank <= 3""")

@@ -27,6 +27,7 @@ from priceloom.operators.summary import (
     axis_range,
     category_summary,
     describe_features,
+    distribution_histograms,
     distribution_summary,
     feature_ranges,
     kpis,
@@ -453,6 +454,22 @@ def d21_distribution_summary(spark, folder):
     return rounded(distribution_summary(listings(spark, folder)))
 
 
+@query("d21_distribution_histograms", with_listings(f"""
+select edges.feature_name as "Feature", bin, {q('bin_start')} as bin_start, {q('bin_end')} as bin_end, count(v) as count
+from edges left join clipped
+  on edges.feature_name = clipped.feature_name and v >= bin_start and (v < bin_end or (bin = 39 and v <= bin_end))
+group by edges.feature_name, bin, bin_start, bin_end""", _MELT_CTE + """,
+clipped as materialized (
+  select feature_name, least(v, cap) as v
+  from long join (select feature_name, quantile_cont(v, 0.98) as cap from long group by all) using (feature_name)),
+edges as materialized (
+  select feature_name, i as bin, case when i = 0 then lo else lo + i * ((hi - lo) / 40) end as bin_start,
+         case when i = 39 then hi else lo + (i + 1) * ((hi - lo) / 40) end as bin_end
+  from (select feature_name, min(v) as lo, max(v) as hi from clipped group by all), range(40) as numbers(i))"""))
+def d21_distribution_histograms(spark, folder):
+    return rounded(distribution_histograms(listings(spark, folder)))
+
+
 _QUALITY_SQL = f"""
 select {q('sqrt(avg((y - p) * (y - p)))')} as rmse, {q('avg(abs(y - p))')} as mae,
        {q('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y))', 9)} as r2"""
