@@ -7,10 +7,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus="*", app_name: str = "priceloom") -> SparkSession:
+def local_session(cpus="*", app_name: str = "priceloom", settings: dict | None = None) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     partitions = str(cpus) if str(cpus).isdigit() else "8"
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app_name)
         .config("spark.sql.shuffle.partitions", partitions)
@@ -21,8 +21,10 @@ def local_session(cpus="*", app_name: str = "priceloom") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in (settings or {}).items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
