@@ -5,6 +5,23 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from priceloom.functions.templates import filled
+
+# The sentences about correlations.
+FEATURE_SENTENCE = (
+    "**{label}** is {strength} {polarity} correlated with discount (r = {r}) — "
+    "higher {label} tends to mean a **{direction} discount**. {context}"
+)
+PAIR_WARNING = (
+    "⚠️ **{first}** and **{second}** are highly correlated (r = {r}). "
+    "They carry overlapping information — but both contribute to computing the price ratio, so both are kept."
+)
+PAIR_SENTENCE = "**{first}** and **{second}**: r = {r}."
+NEGATIVE_SENTENCE = "The most negative is **{label}** (r = {r}) — higher {lower} → smaller discount."
+NO_NEGATIVE_SENTENCE = (
+    "No strong negative relationships exist in this view — "
+    "all features correlate positively or near-zero with discount %."
+)
 
 def bounded(x: Column, low: Column | None = None, high: Column | None = None) -> Column:
     """Clip to [low, high]; null and NaN stay as they are, which ``least`` alone would not do."""
@@ -69,30 +86,17 @@ def lookup_label(key: Column, labels: dict[str, str], default: Column | None = N
 
 def correlation_sentence(feature_label: Column, r: Column, context: Column) -> Column:
     """One sentence on how a feature goes with the discount."""
-    return F.concat(
-        F.lit("**"), feature_label, F.lit("** is "), strength(r), F.lit(" "), polarity(r),
-        F.lit(" correlated with discount (r = "), signed(r), F.lit(") — higher "), feature_label,
-        F.lit(" tends to mean a **"), direction(r), F.lit(" discount**. "), context,
-    )
+    return filled(FEATURE_SENTENCE, label=feature_label, strength=strength(r), polarity=polarity(r), r=signed(r),
+                  direction=direction(r), context=context)
 
 
 def pair_sentence(first_label: Column, second_label: Column, r: Column) -> Column:
     """One sentence on how two features go together, with a warning above the overlap threshold."""
-    overlap = F.concat(
-        F.lit("⚠️ **"), first_label, F.lit("** and **"), second_label, F.lit("** are highly correlated (r = "),
-        signed(r), F.lit("). They carry overlapping information — but both contribute to computing the "
-                         "price ratio, so both are kept."),
-    )
-    plain = F.concat(F.lit("**"), first_label, F.lit("** and **"), second_label, F.lit("**: r = "), signed(r), F.lit("."))
-    return F.when(highly_correlated(r), overlap).otherwise(plain)
+    values = {"first": first_label, "second": second_label, "r": signed(r)}
+    return F.when(highly_correlated(r), filled(PAIR_WARNING, **values)).otherwise(filled(PAIR_SENTENCE, **values))
 
 
 def negative_sentence(feature_label: Column, r: Column) -> Column:
     """The most negative link, named only when it is below -0.1."""
-    named = F.concat(
-        F.lit("The most negative is **"), feature_label, F.lit("** (r = "), signed(r), F.lit(") — higher "),
-        F.lower(feature_label), F.lit(" → smaller discount."),
-    )
-    none = F.lit("No strong negative relationships exist in this view — all features correlate positively "
-                 "or near-zero with discount %.")
-    return F.when(_number(r) < -0.1, named).otherwise(none)
+    named = filled(NEGATIVE_SENTENCE, label=feature_label, r=signed(r), lower=F.lower(feature_label))
+    return F.when(_number(r) < -0.1, named).otherwise(F.lit(NO_NEGATIVE_SENTENCE))

@@ -202,8 +202,8 @@ def d6_histogram_clipped_price(spark, folder):
     return rounded(histogram(listings(spark, folder), "discounted_price", 40, high=0.97))
 
 
-@query("d7_reference_line", with_listings(f"select {q('avg(discount_percentage)')} as mean from listings"))
-def d7_reference_line(spark, folder):
+@query("d7_mean_line", with_listings(f"select {q('avg(discount_percentage)')} as mean from listings"))
+def d7_mean_line(spark, folder):
     return rounded(describe_features(listings(spark, folder), ["discount_percentage"]).select("mean"))
 
 
