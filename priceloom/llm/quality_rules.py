@@ -89,5 +89,6 @@ def quality_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
                        F.col(f"`{text}`").alias("text"))
     base_failed, kept = verdict(rules)
-    return counts(packed).select("row", F.struct("counts.*", base_failed.alias("base_failed"), kept.alias("kept"))
-                                 .alias("quality"))
+    verdicts = F.struct("counts.*", base_failed.alias("base_failed"), kept.alias("kept"))
+    # Out of a one-row generator: a filter on the verdict is not moved below the steps, which would repeat them all.
+    return counts(packed).select("row", F.explode(F.array(verdicts)).alias("quality"))
