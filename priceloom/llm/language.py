@@ -31,12 +31,12 @@ def _letters() -> np.ndarray:
 def grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets (one row per n-gram size) for every character, where each text begins, and its number of letters.
 
-    Letters are in lower case, everything else is a space. Two spaces end each text, so that no n-gram
-    holds letters of two texts.
+    Letters are in lower case, everything else is a space. Two spaces stand before and after each text, so
+    that no n-gram of a text holds letters of another.
     """
     lowered = [(t or "").lower() for t in texts]
-    starts = np.cumsum([0, *(len(t) + 2 for t in lowered)])
-    codes = np.frombuffer(("  ".join(lowered) + "    ").encode("utf-32-le"), _U)
+    starts = np.cumsum([0, *(len(t) + 4 for t in lowered)])
+    codes = np.frombuffer(("".join(f"  {t}  " for t in lowered) + "  ").encode("utf-32-le"), _U)
     letter = _letters()[codes]
     codes = np.where(letter, codes, _U(32))
     n = int(starts[-1])
