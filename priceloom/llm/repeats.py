@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priceloom.llm.arrays import SLICE_BYTES, PrefixHash, flat, mix, shared_minimum, slices
-from priceloom.session import checkpointed
+from priceloom.llm.workspace import stored
 
 _U = np.uint64
 _INDEX_BITS = _U(22)
@@ -188,36 +188,36 @@ def repeated_spans(docs: DataFrame, text: str = "text", threshold: int = 400) ->
     elsewhere in another text or at another place of this one. Texts that occur in several rows count
     once here; see ``remove_repeats``. Nulls and texts shorter than ``threshold`` have no spans.
 
-    The passes run when this is called; their small tables are kept in the checkpoint folder.
+    The passes run when this is called; their tables are kept in the shared folder.
     """
     head = max(1, threshold * 8 // 25)
     block = max(1, threshold // 25)  # window starts that the second digit decides about together
     source = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= threshold)
     keyed = source.select(text_key(F.col("text")).alias("key"), "text")
     heads = keyed.mapInArrow(_heads(threshold, head), HEADS)
-    runs = heads.groupBy("digit", "run").agg(
-        F.min("id").alias("first_id"), F.min(F.least("id", "id_again")).alias("id_low"),
-        F.max(F.greatest("id", "id_again")).alias("id_high"))
-    digits = (runs.groupBy("digit").agg(F.min("id_low").alias("low"), F.max("id_high").alias("high"),
-                                        F.count("*").alias("kinds"))
-              .where("low <> high").select("digit", "kinds"))
-    groups = checkpointed(runs.join(digits, "digit")
-                          .select("digit", "run", "first_id", (F.col("id_low") != F.col("id_high")).alias("repeats"),
-                                  "kinds"))
-    alive = checkpointed(heads.join(groups, ["digit", "run"]).select(
+    digits = (heads.groupBy("digit").agg(F.min(F.least("id", "id_again")).alias("id_low"),
+                                         F.max(F.greatest("id", "id_again")).alias("id_high"))
+              .where("id_low <> id_high").select("digit"))
+    alive = stored(heads.join(digits, "digit"))
+    runs = alive.groupBy("digit", "run").agg(
+        F.min("id").alias("first_id"),
+        (F.min(F.least("id", "id_again")) != F.max(F.greatest("id", "id_again"))).alias("repeats"))
+    kinds = runs.groupBy("digit").agg((F.count("*") > 1).alias("mixed"))
+    groups = stored(runs.join(kinds.select("digit", "mixed"), "digit"))
+    alive = stored(alive.join(groups, ["digit", "run"]).select(
         "key", "digit", "id", "at", "low", "high", "stop", "repeats",
-        (~F.col("repeats") | ((F.col("id") == F.col("first_id")) & (F.col("kinds") > 1))).alias("asked")))
+        (~F.col("repeats") | ((F.col("id") == F.col("first_id")) & F.col("mixed"))).alias("asked")))
     spans = alive.where("repeats").select("key", F.col("low").alias("start"), "stop")
 
     asked = (alive.where("asked").groupBy("key").agg(F.collect_set(F.struct(
         "digit", "id", (~F.col("repeats")).alias("needed"), "at", "low", "high")).alias("asked")))
     texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
-    contexts = checkpointed(texts.join(asked, "key").mapInArrow(_contexts(threshold), CONTEXTS))
+    contexts = stored(texts.join(asked, "key").mapInArrow(_contexts(threshold), CONTEXTS))
     nodes = contexts.mapInArrow(_nodes(threshold, block, False), NODES)
     shared = _repeated(nodes, "digit", "shared").select("digit", "shared")
-    nodes = checkpointed(nodes.join(shared, ["digit", "shared"]))
+    nodes = stored(nodes.join(shared, ["digit", "shared"]))
     whole = _repeated(nodes, "digit", "whole").select("digit", "whole", F.lit(True).alias("all_repeat"))
-    nodes = checkpointed(nodes.join(whole, ["digit", "whole"], "left"))
+    nodes = stored(nodes.join(whole, ["digit", "whole"], "left"))
     spans = spans.unionByName(_as_spans(nodes.where("all_repeat and needed"), threshold))
 
     # A block that repeats as a whole still shows its windows to the blocks that do not.
@@ -283,7 +283,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", threshold: int = 400) ->
     the remaining bytes (UTF-8 may be cut inside a character). Ties need no rule: positions of a
     group are treated alike. An empty table gives no rows; other columns are not read.
     """
-    spans = checkpointed(repeated_spans(docs, text, threshold))
+    spans = stored(repeated_spans(docs, text, threshold))
     texts = (docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
              .select(text_key(F.col("text")).alias("key"), "text")
              .groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
@@ -295,5 +295,5 @@ def repeat_report(docs: DataFrame, threshold: int = 400) -> DataFrame:
     parts = remove_repeats(docs, "text", threshold).select(
         "key", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
     rows = docs.select("doc_id", text_key(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
-    return rows.join(checkpointed(parts), "key").drop("key")
+    return rows.join(stored(parts), "key").drop("key")
 
