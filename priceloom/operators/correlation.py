@@ -141,11 +141,16 @@ def extreme_links(matrix: DataFrame, target: str = "discount_percentage") -> Dat
 
 def strongest_pairs(matrix: DataFrame, columns: list[str] | None = None, target: str = "discount_percentage",
                     limit: int = 3) -> DataFrame:
-    """The feature pairs with the largest |r|, leaving out the target; ties by names, descending."""
-    columns = columns or NUMERIC
+    """The feature pairs with the largest |r|, leaving out the target; ties by names, descending.
+
+    ``columns`` is the order of the features; by default the numeric columns, then all others of the matrix by name.
+    """
+    if columns is None:
+        found = sorted(r[0] for r in matrix.select("row_feature").distinct().collect())
+        columns = [*NUMERIC, *(c for c in found if c not in NUMERIC)]
     order = F.array(*[F.lit(c) for c in columns])
     a, b = F.col("row_feature"), F.col("col_feature")
-    kept = matrix.where((a != target) & (b != target) & (F.array_position(order, a) < F.array_position(order, b)))
+    kept = matrix.where((a != target) & (b != target) & (F.array_position(order, a) > 0) & (F.array_position(order, a) < F.array_position(order, b)))
     return kept.select(
         a.alias("first_feature"), b.alias("second_feature"), "r", highly_correlated(F.col("r")).alias("overlap")
     ).orderBy(F.abs("r").desc_nulls_last(), F.desc("first_feature"), F.desc("second_feature")).limit(limit)

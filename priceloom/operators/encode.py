@@ -5,13 +5,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from priceloom.operators.clean import with_top_category
-from priceloom.operators.joins import lookup_join, materialise_small
+from priceloom.operators.joins import join_materialised, lookup_join, materialise_small
 from priceloom.operators.ordinal import with_ordinal
 from priceloom.schema import TOP_CATEGORY
 
-# One-hot columns are part of the plan, so their number is limited; the vector form has no limit.
-MAX_ONE_HOT_COLUMNS = 1_000
-
 
 def category_codes(df: DataFrame) -> DataFrame:
     """One row per category with its 0-based place in sorted order."""
@@ -28,11 +25,11 @@ def label_encode(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def frequency_encode(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    counts, _ = materialise_small(df.groupBy(TOP_CATEGORY).agg(F.count("*").alias("_n")))
+    counts, small = materialise_small(df.groupBy(TOP_CATEGORY).agg(F.count("*").alias("_n")))
     total = counts.agg(F.sum("_n").alias("_total"))
     share = (F.col("_n") / F.col("_total")).alias("category_freq")
     shares = counts.crossJoin(F.broadcast(total)).select(TOP_CATEGORY, share)
-    return lookup_join(df, shares, [TOP_CATEGORY]), ["category_freq"]
+    return join_materialised(df, shares, small, [TOP_CATEGORY]), ["category_freq"]
 
 
 def target_encode(df: DataFrame, target: str, fit_on: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
@@ -41,10 +38,10 @@ def target_encode(df: DataFrame, target: str, fit_on: DataFrame | None = None) -
     A category that ``fit_on`` lacks gets the mean over all its rows.
     """
     source = df if fit_on is None else _ready(fit_on)
-    means, _ = materialise_small(
+    means, small = materialise_small(
         source.groupBy(TOP_CATEGORY).agg(F.count(target).alias("_n"), F.avg(target).alias("category_target"))
     )
-    encoded = lookup_join(df, means.drop("_n"), [TOP_CATEGORY])
+    encoded = join_materialised(df, means.drop("_n"), small, [TOP_CATEGORY])
     if fit_on is None:
         return encoded, ["category_target"]
     overall = means.agg((F.sum(F.col("_n") * F.col("category_target")) / F.sum("_n")).alias("_overall"))
@@ -54,10 +51,12 @@ def target_encode(df: DataFrame, target: str, fit_on: DataFrame | None = None) -
 
 
 def one_hot_encode(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """One 0/1 column per category, in sorted order, none dropped."""
-    names = [r[0] for r in df.select(TOP_CATEGORY).distinct().limit(MAX_ONE_HOT_COLUMNS + 1).collect()]
-    if len(names) > MAX_ONE_HOT_COLUMNS:
-        raise ValueError(f"more than {MAX_ONE_HOT_COLUMNS} categories: use one_hot_vector")
+    """One 0/1 column per category, in sorted order, none dropped.
+
+    The names become columns of the plan, so they are read when this is called. ``one_hot_vector`` holds the same
+    indicators in one sparse column and suits category counts that no table should have as columns.
+    """
+    names = [r[0] for r in df.select(TOP_CATEGORY).distinct().collect()]
     flags = [F.when(F.col(TOP_CATEGORY) == n, 1.0).otherwise(0.0).alias(f"cat_{n}") for n in sorted(names)]
     # A plain select: names that differ only in case are distinct categories.
     return df.select("*", *flags), [f"cat_{n}" for n in sorted(names)]

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priceloom.session import checkpointed
+from priceloom.session import checkpointed, held
 
 # A table is broadcast only after it was measured to be below both bounds.
 BROADCAST_ROWS = 100_000
@@ -16,12 +16,17 @@ SALTS = 64
 def materialise_small(df: DataFrame) -> tuple[DataFrame, bool]:
     """Compute ``df`` once and say whether it is proven small.
 
-    At most ``BROADCAST_ROWS + 1`` rows reach the driver. A table found to be larger is written to
+    Rows and bytes are counted on the executors first; only a table below both bounds reaches the driver. A table found to be larger is written to
     the checkpoint folder, so that the joins that follow do not compute it again.
     """
-    head = df.limit(BROADCAST_ROWS + 1).toArrow()
-    if head.num_rows <= BROADCAST_ROWS and head.nbytes <= BROADCAST_BYTES:
-        return df.sparkSession.createDataFrame(head, schema=df.schema), True
+    with held(df.limit(BROADCAST_ROWS + 1)) as head:
+        texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+        sizes = [F.sum(F.octet_length(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(texts)]
+        size = head.agg(F.count("*").alias("n"), *sizes).first()
+        # Texts by their measured length, other values at 16 bytes each.
+        total = sum(size[f"_{i}"] or 0 for i in range(len(texts))) + 16 * size["n"] * len(df.columns)
+        if size["n"] <= BROADCAST_ROWS and total <= BROADCAST_BYTES:
+            return df.sparkSession.createDataFrame(head.toArrow(), schema=df.schema), True
     return checkpointed(df), False
 
 

@@ -7,9 +7,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The moments of d columns are d(d+1)/2 aggregates and a d x d matrix on the driver.
-MAX_COLUMNS = 64
-
 
 @dataclass
 class Moments:
@@ -23,9 +20,11 @@ class Moments:
 
 
 def moment_aggregates(columns: list[str]) -> list:
-    """Aggregate expressions: count, means and population covariances."""
-    if len(columns) > MAX_COLUMNS:
-        raise ValueError(f"moments of more than {MAX_COLUMNS} columns")
+    """Aggregate expressions: count, means and population covariances.
+
+    For d columns these are d(d+1)/2 aggregates in one plan and a d x d matrix on the driver: meant for the
+    columns of a feature set, of which there are as many as the caller names.
+    """
     pairs = combinations_with_replacement(range(len(columns)), 2)
     return [
         F.count("*").alias("n"),

@@ -9,10 +9,10 @@ IS_TEST = "is_test"
 
 
 def in_test(key: Column, test_size: float = 0.2, salt: str = "") -> Column:
-    """True for about ``test_size`` of all keys; another ``salt`` gives another split."""
+    """True for about ``test_size`` of all keys, to 32 bits; another ``salt`` gives another split."""
     text = F.concat(key.cast("string"), F.lit(salt)) if salt else key.cast("string")
     number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return number % 100 < round(test_size * 100)
+    return number < F.lit(test_size * 2**32)
 
 
 def with_split(df: DataFrame, key: str = KEY, test_size: float = 0.2, salt: str = "") -> DataFrame:

@@ -14,7 +14,7 @@ from priceloom.operators.quantile import clip_upper
 from priceloom.operators.retrieval import hashed_vectors
 from priceloom.operators.summary import points_below_cap, sample_products, training_stats
 from priceloom.operators.training import fit_model, score
-from priceloom.plans.listing import listings, raw_listings, spread, table, with_listings, with_parsed
+from priceloom.plans.listing import listings, raw_listings, table, with_listings, with_parsed
 from priceloom.plans.registry import q, query, r, rounded, shown
 from priceloom.schema import (
     DISCOUNT_FEATURES,
@@ -103,14 +103,14 @@ def _vector_facts(df, text):
 @query("a6_a7_vector_table", _ENCODED_SQL)
 def a6_a7_vector_table(spark, folder):
     path = scratch(spark, "vectors")
-    documents = spread(table(spark, folder, "documents"), "doc_id")
+    documents = table(spark, folder, "documents")
     write_vectors(hashed_vectors(documents.withColumnRenamed("text", "document"), "document"), path)
     return _vector_facts(read_vectors(spark, path), "document")
 
 
 @query("g1_hashed_vectors", _ENCODED_SQL)
 def g1_hashed_vectors(spark, folder):
-    documents = spread(table(spark, folder, "documents"), "doc_id")
+    documents = table(spark, folder, "documents")
     return _vector_facts(hashed_vectors(documents, "text"), "text")
 
 

@@ -1,28 +1,22 @@
 """The driver tables as listings: one listing per order line, joined to its part."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceloom.operators.clean import clean_listings
+from priceloom.session import ensure_checkpoint_dir
+from priceloom.sources.listings import read_listings, write_listings
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core work when the files have fewer splits than there are cores.
-
-    A table with many splits, as any large one has, is returned unchanged and is not shuffled.
-    Together the keys should tell rows apart, so that no share is larger than the others.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def raw_listings(spark: SparkSession, folder: str) -> DataFrame:
     """Listing text with planted nulls and junk, so that cleaning has work to do."""
-    lines = spread(table(spark, folder, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey")
+    lines = table(spark, folder, "lineitem")
     parts = table(spark, folder, "part")
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) "
@@ -39,8 +33,20 @@ def raw_listings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_CLEAN: dict[tuple[str, str], str] = {}
+
+
 def listings(spark: SparkSession, folder: str) -> DataFrame:
-    return clean_listings(raw_listings(spark, folder))
+    """The clean listings, written as Parquet once per application and folder and read from there.
+
+    They are dealt by key when written, so that later scans have work for every core.
+    """
+    place = (spark.sparkContext.applicationId, folder)
+    if place not in _CLEAN:
+        path = f"{ensure_checkpoint_dir(spark)}/listings-{uuid.uuid4()}"
+        write_listings(clean_listings(raw_listings(spark, folder)).repartition("product_id"), path)
+        _CLEAN[place] = path
+    return read_listings(spark, _CLEAN[place])
 
 
 # The same tables for the SQL check, written independently of the expressions above.

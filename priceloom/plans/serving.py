@@ -8,48 +8,46 @@ from priceloom.operators.summary import training_stats
 from priceloom.operators.training import fit_model
 from priceloom.plans.cleaning import scratch
 from priceloom.plans.linear_sql import moments_cte, solve_ctes
-from priceloom.plans.listing import listings, spread, table, with_listings
+from priceloom.plans.listing import listings, table, with_listings
 from priceloom.plans.registry import q, query, rounded, shown
 from priceloom.plans.workflows import question_prompts
 from priceloom.schema import DISCOUNT_FEATURES, DISCOUNT_TARGET
 from priceloom.sources.vectors import read_vectors, write_vectors
 from priceloom.streaming.scoring import read_requests, score_stream, scored_with_drift
 
-# ── Drift: statistics from the cheaper listings, checked against all of them ─
+# ── Drift: statistics and models from all listings, checked on requests with planted outliers ─
 
-CHEAP = "actual_price < 30000"
+PLANTED = "if(pmod(cast(rating_count as bigint), 50) = 0, actual_price * 10, actual_price)"
+_REQUESTS_SQL = """requests as (select product_id, case when cast(rating_count as bigint) % 50 = 0 then actual_price * 10
+  else actual_price end as actual_price, discounted_price, rating, rating_count from listings)"""
 
 
-def _cheap(spark, folder):
-    return listings(spark, folder).where(CHEAP)
+def _stats(spark, folder):
+    return training_stats(listings(spark, folder), DISCOUNT_FEATURES)
 
 
-def _cheap_stats(spark, folder):
-    return training_stats(_cheap(spark, folder), DISCOUNT_FEATURES)
-
-
-_Z_CTE = ("z as materialized (select product_id, " + ", ".join(
+_Z_CTE = (_REQUESTS_SQL + ", z as materialized (select product_id, " + ", ".join(
     f"{c}, case when s_{c} > 0 then abs(({c} - m_{c}) / s_{c}) else 0 end as z_{c}" for c in DISCOUNT_FEATURES)
-    + " from listings, (select " + ", ".join(
+    + " from requests, (select " + ", ".join(
         f"avg({c}) as m_{c}, stddev_samp({c}) as s_{c}" for c in DISCOUNT_FEATURES)
-    + f" from listings where {CHEAP}))")
+    + " from listings))")
 _ANY = " or ".join(f"z_{c} > 3" for c in DISCOUNT_FEATURES)
 
 
 @query("f1_z_scores", with_listings(
     "select product_id, " + ", ".join(f"{q(f'z_{c}')} as z_{c}" for c in DISCOUNT_FEATURES) + " from z", _Z_CTE))
 def f1_z_scores(spark, folder):
-    scored = with_z_scores(listings(spark, folder), _cheap_stats(spark, folder), DISCOUNT_FEATURES)
+    scored = with_z_scores(_requests(spark, folder), _stats(spark, folder), DISCOUNT_FEATURES)
     return rounded(scored.select("product_id", *[f"z_{c}" for c in DISCOUNT_FEATURES]))
 
 
 @query("f2_drift_flag", with_listings(f"select product_id, {_ANY} as drift_detected from z", _Z_CTE))
 def f2_drift_flag(spark, folder):
-    checked = check_drift(listings(spark, folder), _cheap_stats(spark, folder), DISCOUNT_FEATURES)
+    checked = check_drift(_requests(spark, folder), _stats(spark, folder), DISCOUNT_FEATURES)
     return checked.select("product_id", "drift_detected")
 
 
-_LINE = (moments_cte("train_m", f"(select * from listings where {CHEAP})", DISCOUNT_FEATURES, DISCOUNT_TARGET) + ",\n"
+_LINE = (moments_cte("train_m", "listings", DISCOUNT_FEATURES, DISCOUNT_TARGET) + ",\n"
          + solve_ctes("line", "train_m", list(range(len(DISCOUNT_FEATURES)))) + ",\n" + _Z_CTE)
 _PREDICTION = " + ".join(f"w{i} * {c}" for i, c in enumerate(DISCOUNT_FEATURES)) + " + w"
 _SCORED_SQL = with_listings(
@@ -63,23 +61,23 @@ def _flat(scored):
 
 
 def _requests(spark, folder):
-    return listings(spark, folder).select("product_id", *DISCOUNT_FEATURES)
+    return listings(spark, folder).withColumn("actual_price", F.expr(PLANTED)).select("product_id", *DISCOUNT_FEATURES)
 
 
-def _cheap_model(spark, folder):
-    return fit_model(_cheap(spark, folder), "Linear Regression", DISCOUNT_FEATURES, DISCOUNT_TARGET)
+def _line_model(spark, folder):
+    return fit_model(listings(spark, folder), "Linear Regression", DISCOUNT_FEATURES, DISCOUNT_TARGET)
 
 
 @query("f3_scoring_with_drift", _SCORED_SQL)
 def f3_scoring_with_drift(spark, folder):
-    return _flat(scored_with_drift(_requests(spark, folder), _cheap_model(spark, folder), _cheap_stats(spark, folder)))
+    return _flat(scored_with_drift(_requests(spark, folder), _line_model(spark, folder), _stats(spark, folder)))
 
 
 @query("f3_scoring_without_stats", with_listings(
     f"select product_id, {shown(_PREDICTION, 2)} as predicted_discount_percentage, false as drift_warning, "
     "0 as details from z, line", _LINE))
 def f3_scoring_without_stats(spark, folder):
-    scored = scored_with_drift(_requests(spark, folder), _cheap_model(spark, folder))
+    scored = scored_with_drift(_requests(spark, folder), _line_model(spark, folder))
     return scored.select("product_id", "predicted_discount_percentage", "drift_warning",
                          F.size("drift_details").alias("details"))
 
@@ -88,7 +86,7 @@ def f3_scoring_without_stats(spark, folder):
     f"select '{c}' as feature, count(*) as checked, count(*) filter (z_{c} > 3) as flagged, {q(f'max(z_{c})')} as max_z from z"
     for c in DISCOUNT_FEATURES), _Z_CTE))
 def f4_drift_report(spark, folder):
-    return rounded(drift_report(listings(spark, folder), _cheap_stats(spark, folder), DISCOUNT_FEATURES))
+    return rounded(drift_report(_requests(spark, folder), _stats(spark, folder), DISCOUNT_FEATURES))
 
 
 @query("s1_stream_scoring", _SCORED_SQL)
@@ -97,10 +95,10 @@ def s1_stream_scoring(spark, folder):
     requests, out = scratch(spark, "requests"), scratch(spark, "scored")
     _requests(spark, folder).write.parquet(requests)
     stats = scratch(spark, "stats")
-    _cheap_stats(spark, folder).coalesce(1).write.parquet(stats)
+    _stats(spark, folder).coalesce(1).write.parquet(stats)
     batch = spark.read.parquet(requests)
     stream = read_requests(spark, requests, batch.schema)
-    model = _cheap_model(spark, folder)
+    model = _line_model(spark, folder)
     score_stream(stream, model, spark.read.parquet(stats), out, available_now=True).awaitTermination()
     return _flat(spark.read.parquet(out))
 
@@ -121,7 +119,7 @@ def _vectors(spark, folder):
 
 def _neighbours(spark, folder, k=3, **columns):
     vectors = _vectors(spark, folder)
-    corpus = spread(vectors, "vec_id").select(F.col("vec_id").alias("doc_id"), "embedding")
+    corpus = vectors.select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding", *[c.alias(n) for n, c in columns.items()])
     return nearest_documents(asked, corpus, k)
 
@@ -185,7 +183,7 @@ def g6_question_prompts(spark, folder):
     """Every user turn asks the documents, over hashed vectors of the whole texts."""
     asked = table(spark, folder, "conversations").where("role = 'user'")
     asked = asked.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("question"))
-    documents = spread(table(spark, folder, "documents"), "doc_id")
+    documents = table(spark, folder, "documents")
     path = scratch(spark, "vectors")
     write_vectors(hashed_vectors(documents.withColumnRenamed("text", "document"), "document"), path)
     return question_prompts(asked, read_vectors(spark, path))

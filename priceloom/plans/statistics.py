@@ -76,7 +76,7 @@ def c3_target_encoding_price(spark, folder):
     return rounded(encoded.select("product_id", *names))
 
 
-IS_TEST_SQL = "(('0x' || substring(md5(product_id), 1, 8))::bigint % 100 < 20)"
+IS_TEST_SQL = "(('0x' || substring(md5(product_id), 1, 8))::bigint < 0.2 * 4294967296)"
 
 
 @query("c3_target_encoding_train", with_listings(f"""

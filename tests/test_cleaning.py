@@ -97,7 +97,7 @@ def test_rows_with_a_missing_number_are_dropped(spark, tmp_path, sample_rows):
     path = str(tmp_path / "nulls.csv")
     rows.to_csv(path, index=False)
     raw = read_listings_csv(spark, path)
-    assert [r.product_id for r in clean_listings(raw).collect()] == ["A1"]
+    assert [r.product_id for r in clean_listings(raw).collect()] == ["L-01"]
     report = rejected_counts(raw).first()
     assert (report.rows_read, report.rows_dropped, report.bad_rating, report.bad_actual_price) == (3, 2, 1, 0)
 
@@ -109,7 +109,7 @@ def test_quotes_line_breaks_and_extra_columns(spark, tmp_path, sample_rows):
     rows[list(reversed(rows.columns))].to_csv(path, index=False)
     df = clean_listings(read_listings_csv(spark, path))
     assert df.count() == 3
-    first = df.where("product_id = 'A1'").first()
+    first = df.where("product_id = 'L-01'").first()
     assert first.review_content == 'says "good",\nthen more' and first.extra == "x"
 
 
@@ -144,5 +144,5 @@ def test_infinite_price_is_kept_and_nan_dropped(spark, sample_rows):
     rows = {**sample_rows, "actual_price": ["inf", "NaN", "₹5"]}
     raw = spark.createDataFrame(list(zip(*rows.values())), ", ".join(f"{n} string" for n in rows))
     got = clean_listings(raw).orderBy("product_id").select("product_id", "actual_price").collect()
-    assert [tuple(r) for r in got] == [("A1", math.inf), ("A3", 5.0)]
+    assert [tuple(r) for r in got] == [("L-01", math.inf), ("L-03", 5.0)]
     assert clean_listings(raw).where(F.col("category") == "none").count() == 0

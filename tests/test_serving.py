@@ -229,3 +229,12 @@ def test_training_and_questions_end_to_end(spark, tmp_path, sample_rows):
     questions = spark.createDataFrame([("q", "Product: gadget7 cable.")], "query_id string, question string")
     row = question_prompts(questions, read_vectors(spark, f"{folder}/vectors")).first()
     assert len(row.sources) == 3 and row.prompt.endswith("Question: Product: gadget7 cable.\n\nAnswer:")
+
+
+def test_repeated_questions_are_questions_of_their_own(spark):
+    corpus = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)], "doc_id long, embedding array<float>")
+    asked = spark.createDataFrame([("a", [0.0, 0.0], 1), ("a", [5.0, 0.0], 2), ("a", [5.0, 0.0], 2)],
+                                  "query_id string, embedding array<float>, top_k int")
+    found = nearest_documents(asked, corpus).collect()
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in found) == [
+        ("a", 1, 0), ("a", 1, 5), ("a", 1, 5), ("a", 2, 4), ("a", 2, 4)]
