@@ -148,9 +148,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, shared: int = SHARED, tile:
     grids = F.array(*[F.struct(F.lit(i).alias("grid"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell"))
                       for i, m in enumerate(_masks(radius, shared))])
     cells = distinct.select("fp", embedding(F.col("fp")).alias("counts")).select("fp", F.inline(grids))
-    sizes = cells.groupBy("grid", "cell").count().where("count > 1")
-    members = (cells.join(sizes, ["grid", "cell"])
-               .withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
+    # Only cells over a tile need a count; there are at most grids x fingerprints / tile of them.
+    large = checkpointed(cells.groupBy("grid", "cell").count().where(F.col("count") > tile))
+    members = (cells.join(large, ["grid", "cell"], "left")
+               .withColumn("tiles", F.coalesce(F.ceil(F.col("count") / tile), F.lit(1)).cast("int"))
                .withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))))
     units = members.select(F.xxhash64("grid", "cell", F.least("tile", "other"), F.greatest("tile", "other"))
