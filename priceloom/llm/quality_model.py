@@ -227,7 +227,8 @@ def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
     Repeated ids on both sides learn once per pair of rows; conflicting labels are all counted.
     """
-    learning = docs.where(remainder() != 2).select("doc_id", "text").join(
+    # Labels grow with the documents: the same shuffled join at every size, never a broadcast.
+    learning = docs.where(remainder() != 2).select("doc_id", "text").hint("merge").join(
         labels.where("quality in (0, 1)").where(remainder() != 2)
         .select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id")
     model = fit(learning)
