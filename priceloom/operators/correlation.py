@@ -14,7 +14,7 @@ from priceloom.functions.scalars import (
 )
 from priceloom.operators.clean import with_top_category
 from priceloom.operators.encode import category_codes
-from priceloom.operators.joins import lookup_join, materialise_small
+from priceloom.operators.joins import join_materialised, materialise_small
 from priceloom.operators.moments import moment_aggregates
 from priceloom.schema import FEATURE_CONTEXT, FEATURE_LABELS, NUMERIC, TOP_CATEGORY
 
@@ -58,8 +58,8 @@ def encoded_correlation_matrix(df: DataFrame, method: str, target_col: str = "di
         raise ValueError(f"unknown encoding {method!r}: choose label, frequency, target or onehot")
     groups, _ = materialise_small(with_top_category(df).groupBy(TOP_CATEGORY).agg(*moment_aggregates(NUMERIC)))
     if method == "label":
-        codes = category_codes(groups).withColumnRenamed("category_label", "_e")
-        coded = lookup_join(groups, codes, [TOP_CATEGORY])
+        codes, small = category_codes(groups)
+        coded = join_materialised(groups, codes.withColumnRenamed("category_label", "_e"), small, [TOP_CATEGORY])
     elif method == "frequency":
         total = groups.agg(F.sum("n").alias("_all"))
         coded = groups.crossJoin(F.broadcast(total)).withColumn("_e", F.col("n") / F.col("_all")).drop("_all")

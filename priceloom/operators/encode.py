@@ -5,23 +5,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from priceloom.operators.clean import with_top_category
-from priceloom.operators.joins import join_materialised, lookup_join, materialise_small
+from priceloom.operators.joins import join_materialised, materialise_small
 from priceloom.operators.ordinal import with_ordinal
 from priceloom.schema import TOP_CATEGORY
 
 
-def category_codes(df: DataFrame) -> DataFrame:
-    """One row per category with its 0-based place in sorted order."""
+def category_codes(df: DataFrame) -> tuple[DataFrame, bool]:
+    """One row per category with its 0-based place in sorted order, and whether that table is proven small."""
     names, small = materialise_small(df.select(TOP_CATEGORY).distinct())
     if small:
         order = Window.partitionBy(F.lit(0)).orderBy(TOP_CATEGORY)
-        return names.withColumn("category_label", (F.row_number().over(order) - 1).cast("double"))
+        return names.withColumn("category_label", (F.row_number().over(order) - 1).cast("double")), True
     numbered = with_ordinal(names, [TOP_CATEGORY], "category_label")
-    return numbered.withColumn("category_label", F.col("category_label").cast("double"))
+    return numbered.withColumn("category_label", F.col("category_label").cast("double")), False
 
 
 def label_encode(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    return lookup_join(df, category_codes(df), [TOP_CATEGORY]), ["category_label"]
+    codes, small = category_codes(df)
+    return join_materialised(df, codes, small, [TOP_CATEGORY]), ["category_label"]
 
 
 def frequency_encode(df: DataFrame) -> tuple[DataFrame, list[str]]:

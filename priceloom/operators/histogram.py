@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priceloom.functions.scalars import bounded
-from priceloom.operators.quantile import exact_quantiles, quantile_row
+from priceloom.operators.quantile import column_quantiles, quantile_row
 from priceloom.session import held
 
 HISTOGRAM_SCHEMA = "bin bigint, bin_start double, bin_end double, count bigint"
@@ -68,10 +68,9 @@ def feature_histograms(df: DataFrame, columns: list[str], bins: int = 40, high:
 
     All columns are counted in the same pass.
     """
-    with held(df.select(*[F.col(c).cast("double") for c in columns])) as data:
-        long = data.unpivot([], columns, "Feature", "Value")
+    with held(df.select(*[F.col(c).cast("double").alias(c) for c in columns])) as data:
         limits = {c: {} for c in columns}
-        for row in exact_quantiles(long, "Value", [0.0, high], ("Feature",)).collect():
+        for row in column_quantiles(data, columns, [0.0, high]).collect():
             limits[row["Feature"]][row["prob"]] = row["value"]
         edges = {c: _edges(q[0.0], q[high], bins) for c, q in limits.items() if q}
         cells = []

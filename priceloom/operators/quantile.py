@@ -43,6 +43,16 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], by: tuple =
     return found.select(*by, "prob", "value")
 
 
+def column_quantiles(wide: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    """``(Feature, prob, value)`` for several columns of a table that the caller holds.
+
+    The columns are unpivoted anew in every pass, below the partial aggregation, so no long form is kept.
+    """
+    doubles = wide.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    long = doubles.unpivot([], columns, "Feature", "_v").where("_v is not null and not isnan(_v)")
+    return materialise_small(_search(long, ["Feature"], [float(p) for p in probs]))[0]
+
+
 def _search(data: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     names = [f"`{k}`" for k in keys]
     group = ", ".join(names)

@@ -8,7 +8,7 @@ from priceloom.operators.clean import with_top_category
 from priceloom.operators.histogram import feature_histograms
 from priceloom.operators.joins import materialise_small, with_scalars
 from priceloom.operators.ordinal import with_running_total
-from priceloom.operators.quantile import exact_quantiles, quantile_row
+from priceloom.operators.quantile import column_quantiles, quantile_row
 from priceloom.schema import NUMERIC, TOP_CATEGORY
 from priceloom.session import held
 
@@ -93,7 +93,9 @@ def distribution_summary(df: DataFrame, columns: list[str] | None = None) -> Dat
     column: nothing is clipped or scaled row by row.
     """
     points = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "cap": 0.98, "top": 1.0}
-    long = exact_quantiles(melt(df, columns), "Value", list(points.values()), ("Feature",))
+    columns = columns or NUMERIC
+    with held(df.select(*columns)) as data:
+        long = column_quantiles(data, columns, list(points.values()))
     wide = long.groupBy("Feature").agg(
         *[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in points.items()]
     )

@@ -106,6 +106,26 @@ def holdout_predictions(df: DataFrame, name: str, task: str, overrides: dict | s
     return score(model, test).withColumnRenamed(target, "actual")
 
 
+def holdout_quality(model: PipelineModel, df: DataFrame, task: str, key: str = KEY) -> DataFrame:
+    """RMSE, MAE and R2 of a given model, such as a loaded one, on the test side."""
+    return evaluate(score(model, df.where(in_test(F.col(key)))), TASKS[task][1], "prediction")
+
+
+def parameter_sweep(df: DataFrame, name: str, task: str, settings: list[dict], key: str = KEY) -> DataFrame:
+    """Hold-out quality of each parameter set: ``(parameters, rmse, mae, r2)``, best first.
+
+    All sets are checked against the accepted ranges before the first fit; every set is one fit.
+    """
+    for overrides in settings:
+        model_parameters(name, overrides)
+    rows = []
+    for overrides in settings:
+        found = evaluate(holdout_predictions(df, name, task, overrides, key=key), "actual", "prediction").first()
+        rows.append((json.dumps(overrides, sort_keys=True), found["rmse"], found["mae"], found["r2"]))
+    table = df.sparkSession.createDataFrame(rows, "parameters string, rmse double, mae double, r2 double")
+    return table.orderBy("rmse", "parameters")
+
+
 def train_random_forest(df: DataFrame, features: list[str], target: str, test_size: float = 0.2, trees: int = 100,
                         max_depth: int | None = None, key: str = KEY) -> tuple[PipelineModel, dict]:
     """A forest and its quality on held-out rows."""

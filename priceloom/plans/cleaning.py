@@ -11,7 +11,7 @@ from priceloom.operators.clean import clean_listings, feature_target, rejected_c
 from priceloom.operators.metrics import with_residual
 from priceloom.operators.ordinal import with_ordinal
 from priceloom.operators.quantile import clip_upper
-from priceloom.operators.retrieval import hashed_vectors
+from priceloom.operators.retrieval import bucket_vectors, hashed_vectors
 from priceloom.operators.summary import points_below_cap, sample_products, training_stats
 from priceloom.operators.training import fit_model, score
 from priceloom.plans.listing import listings, raw_listings, table, with_listings, with_parsed
@@ -38,13 +38,19 @@ def scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("a1_csv_scan", CLEAN_SQL)
-def a1_csv_scan(spark, folder):
+def raw_csv(spark, folder) -> str:
+    """The uncleaned listings as CSV files with all columns of the source; returns their folder."""
     raw = raw_listings(spark, folder)
     path = scratch(spark, "csv")
     raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS]) \
         .write.option("header", True).option("escape", '"').csv(path)
-    return clean_listings(read_listings_csv(spark, path)).select(*raw.columns)
+    return path
+
+
+@query("a1_csv_scan", CLEAN_SQL)
+def a1_csv_scan(spark, folder):
+    cleaned = clean_listings(read_listings_csv(spark, raw_csv(spark, folder)))
+    return cleaned.select(*raw_listings(spark, folder).columns)
 
 
 @query("a1_clean_parquet_scan", CLEAN_SQL)
@@ -114,6 +120,33 @@ def g1_hashed_vectors(spark, folder):
     return _vector_facts(hashed_vectors(documents, "text"), "text")
 
 
+_WEIGHTS_SQL = r"""
+with words as (select doc_id, unnest(regexp_split_to_array(lower(text), '[\t-\r ]+')) as word from documents),
+buckets as (select doc_id, ('0x' || substring(md5(word), 1, 8))::bigint % 384 as bucket, count(*) as n
+            from words where word <> '' group by all)
+select doc_id, bucket, """ + q("cast(cast(n / sqrt(sum(n * n) over (partition by doc_id)) as float) as double)", 5) \
+    + " as weight from buckets"
+
+
+def _weights(df):
+    cells = df.select("doc_id", F.posexplode("embedding").alias("bucket", "weight")).where("weight > 0")
+    return rounded(cells.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"),
+                                F.col("weight").cast("double").alias("weight")), 5)
+
+
+@query("g1_bucket_vectors", _WEIGHTS_SQL)
+def g1_bucket_vectors(spark, folder):
+    return _weights(bucket_vectors(table(spark, folder, "documents"), "text"))
+
+
+@query("a6_a7_vector_values", _WEIGHTS_SQL)
+def a6_a7_vector_values(spark, folder):
+    path = scratch(spark, "vectors")
+    documents = table(spark, folder, "documents").withColumnRenamed("text", "document")
+    write_vectors(bucket_vectors(documents, "document"), path)
+    return _weights(read_vectors(spark, path))
+
+
 @query("b1_clean_price", with_parsed("select product_id, actual_price, discounted_price from listings_parsed"))
 def b1_clean_price(spark, folder):
     return raw_listings(spark, folder).select(

@@ -19,14 +19,18 @@ from priceloom.operators.training import (
     feature_influence,
     fit_model,
     holdout_predictions,
+    holdout_quality,
+    parameter_sweep,
     score,
     train_model,
 )
+from priceloom.plans.cleaning import raw_csv, scratch
 from priceloom.plans.linear_sql import moments_cte, pca_ctes, scores_sql, selection_ctes, solve_ctes
 from priceloom.plans.linear_sql import test_r2 as r2_sql
 from priceloom.plans.listing import listings, with_listings
 from priceloom.plans.registry import q, query, rounded
 from priceloom.plans.statistics import IS_TEST_SQL
+from priceloom.plans.workflows import train_all
 from priceloom.schema import (
     DISCOUNT_FEATURES,
     DISCOUNT_TARGET,
@@ -37,6 +41,8 @@ from priceloom.schema import (
     SCENARIOS,
     TASKS,
 )
+from priceloom.sources.models import load_model, save_model
+from priceloom.sources.vectors import read_vectors
 
 _SIDES = f"""train as (select * from listings where not {IS_TEST_SQL}),
 test as (select * from listings where {IS_TEST_SQL})"""
@@ -126,6 +132,49 @@ def e9_holdout_metrics_fit_on_all(spark, folder):
     return rounded(evaluate(found, "actual", "prediction"))
 
 
+@query("e9_saved_model_holdout", _quality_sql("price"))
+def e9_saved_model_holdout(spark, folder):
+    """A model fitted on the training side is saved, loaded, and judged on the test side."""
+    df = listings(spark, folder)
+    path = scratch(spark, "models")
+    save_model(train_model(df, "Linear Regression", "price"), path, "line")
+    return rounded(holdout_quality(load_model(path, "line"), df, "price"))
+
+
+_ALPHAS = (0.01, 1.0, 100.0)
+
+
+def _sweep_sql():
+    features, y = TASKS["discount"]
+    p = f"({_predicted('discount')})"
+    lines = [solve_ctes(f"line_{i}", "train_m", list(range(len(features))), f"{alpha} / n")
+             for i, alpha in enumerate(_ALPHAS)]
+    rows = " union all ".join(f"""
+select '{{"alpha": {alpha}}}' as parameters, {q(f'sqrt(avg(({y} - {p}) ^ 2))')} as rmse, {q(f'avg(abs({y} - {p}))')} as mae,
+       {q(f'1 - sum(({y} - {p}) ^ 2) / (var_pop({y}) * count(*))')} as r2 from test, line_{i}"""
+                              for i, alpha in enumerate(_ALPHAS))
+    return with_listings(rows, ",\n".join([_SIDES, moments_cte("train_m", "train", features, y), *lines]))
+
+
+@query("e7_parameter_sweep", _sweep_sql())
+def e7_parameter_sweep(spark, folder):
+    settings = [{"alpha": alpha} for alpha in _ALPHAS]
+    return rounded(parameter_sweep(listings(spark, folder), "Ridge Regression", "discount", settings))
+
+
+@query("w1_training_job", f"""
+select listings, listings as vectors, rmse as price_rmse, mae as price_mae, r2 as price_r2, true as forest_r2_in_range
+from ({_quality_sql("price")}), ({with_listings("select count(*) as listings from listings")})""")
+def w1_training_job(spark, folder):
+    """From CSV to both models, the statistics and the document vectors."""
+    out = scratch(spark, "trained")
+    report = train_all(spark, raw_csv(spark, folder), out)
+    vectors = read_vectors(spark, f"{out}/vectors").agg(F.count("*").alias("vectors"))
+    quality = [F.lit(report["price"][m]).alias(f"price_{m}") for m in ("rmse", "mae", "r2")]
+    return rounded(vectors.select(F.lit(report["rows"]).cast("long").alias("listings"), "vectors", *quality,
+                                  F.lit(0 < report["discount"]["r2"] <= 1).alias("forest_r2_in_range")))
+
+
 @query("e8_batch_scoring", with_listings(
     f"select product_id, {q(_predicted('discount'), 4)} as prediction from listings, line",
     _line_ctes("discount", "listings")))

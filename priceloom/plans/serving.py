@@ -11,9 +11,9 @@ from priceloom.plans.linear_sql import moments_cte, solve_ctes
 from priceloom.plans.listing import listings, table, with_listings
 from priceloom.plans.registry import q, query, rounded, shown
 from priceloom.plans.workflows import question_prompts
-from priceloom.schema import DISCOUNT_FEATURES, DISCOUNT_TARGET
+from priceloom.schema import DISCOUNT_FEATURES, DISCOUNT_TARGET, PRICE_FEATURES, PRICE_TARGET
 from priceloom.sources.vectors import read_vectors, write_vectors
-from priceloom.streaming.scoring import read_requests, score_stream, scored_with_drift
+from priceloom.streaming.scoring import discount_answers, price_answers, read_requests, score_stream, scored_with_drift
 
 # ── Drift: statistics and models from all listings, checked on requests with planted outliers ─
 
@@ -82,6 +82,34 @@ def f3_scoring_without_stats(spark, folder):
                          F.size("drift_details").alias("details"))
 
 
+_CLAMPED = f"least(greatest({_PREDICTION}, 0.0), 100.0)"
+_IMPLIED = "case when actual_price > 0 then (1 - discounted_price / actual_price) * 100 else 0.0 end"
+
+
+@query("w2_discount_answers", with_listings(
+    f"select product_id, {q(_CLAMPED, 4)} as predicted, {q(_IMPLIED, 4)} as implied, "
+    f"{q(f'{_CLAMPED} - ({_IMPLIED})', 4)} as difference, ({_ANY}) as drift_detected from z, line", _LINE))
+def w2_discount_answers(spark, folder):
+    answers = discount_answers(_requests(spark, folder), _line_model(spark, folder), _stats(spark, folder))
+    return rounded(answers.select("product_id", "predicted", "implied", "difference", "drift_detected"), 4)
+
+
+_PRICE_LINE = (moments_cte("price_m", "listings", PRICE_FEATURES, PRICE_TARGET) + ",\n"
+               + solve_ctes("line", "price_m", list(range(len(PRICE_FEATURES)))))
+_PRICE = " + ".join(f"w{i} * {c}" for i, c in enumerate(PRICE_FEATURES)) + " + w"
+_FORMULA = "actual_price * (1 - discount_percentage / 100)"
+
+
+@query("w3_price_answers", with_listings(
+    f"select product_id, {q(_PRICE, 4)} as predicted, {q(_FORMULA, 4)} as formula, "
+    f"{q(f'{_PRICE} - {_FORMULA}', 4)} as difference, ({_PRICE}) >= actual_price as above_list from listings, line",
+    _PRICE_LINE))
+def w3_price_answers(spark, folder):
+    df = listings(spark, folder)
+    answers = price_answers(df, fit_model(df, "Linear Regression", PRICE_FEATURES, PRICE_TARGET))
+    return rounded(answers.select("product_id", "predicted", "formula", "difference", "above_list"), 4)
+
+
 @query("f4_drift_report", with_listings(" union all ".join(
     f"select '{c}' as feature, count(*) as checked, count(*) filter (z_{c} > 3) as flagged, {q(f'max(z_{c})')} as max_z from z"
     for c in DISCOUNT_FEATURES), _Z_CTE))
@@ -136,6 +164,17 @@ def g3_neighbours_per_question(spark, folder):
     return rounded(_neighbours(spark, folder, top_k=1 + F.col("label") % 4), 5)
 
 
+@query("g3_repeated_question_ids", f"""
+with {_RANKED} select label as query_id, rank, doc_id, {q('distance', 5)} as distance
+from ranked where rank <= 1 + query_id % 3""")
+def g3_repeated_question_ids(spark, folder):
+    """All vectors of a label ask under the same id, with a different number of neighbours each."""
+    vectors = _vectors(spark, folder)
+    corpus = vectors.select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = vectors.select(F.col("label").alias("query_id"), "embedding", (1 + F.col("vec_id") % 3).alias("top_k"))
+    return rounded(nearest_documents(asked, corpus), 5)
+
+
 @query("g5_short_corpus", f"""
 with parts as (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings),
 means as (select label, i, avg(x::double) as m from parts group by all),

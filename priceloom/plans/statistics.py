@@ -100,6 +100,20 @@ def c4_one_hot_encoding(spark, folder):
     return encoded.select("product_id", *names)
 
 
+@query("c0_encoding_methods", with_listings(f"""
+select product_id, cast(dense_rank() over (order by top_category) - 1 as double) as category_label,
+       {q('count(*) over (partition by top_category) / (count(*) over ())')} as category_freq,
+       {q('avg(discount_percentage) over (partition by top_category)')} as category_target, """ + ", ".join(
+    f"cast(top_category = '{c}' as int)::double as \"cat_{c}\"" for c in _CATEGORIES) + " from listings"))
+def c0_encoding_methods(spark, folder):
+    """The four methods by name, one after the other."""
+    df, names = listings(spark, folder), []
+    for method in ("label", "frequency", "target", "onehot"):
+        df, added = encode_category(df, method)
+        names += added
+    return rounded(df.select("product_id", *names))
+
+
 @query("c5_min_max_scaling", with_listings("select product_id, " + ", ".join(
     q(f"coalesce(({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0), 0)", 9) + f" as {c}"
     for c in NUMERIC) + " from listings"))
@@ -353,20 +367,34 @@ def d17_extreme_links(spark, folder):
     return rounded(extreme_links(correlation_matrix(listings(spark, folder))), 9)
 
 
-_ORDER = "list_position([" + ", ".join(f"'{c}'" for c in NUMERIC) + "], {})"
-_PAIRS = f"""
+
+def _pairs_sql(columns):
+    place = "list_position([" + ", ".join(f"'{c}'" for c in columns) + "], {})"
+    return f"""
 select row_feature as first_feature, col_feature as second_feature, r from matrix
 where row_feature <> 'discount_percentage' and col_feature <> 'discount_percentage'
-  and {_ORDER.format('row_feature')} < {_ORDER.format('col_feature')}
+  and {place.format('row_feature')} < {place.format('col_feature')}
 order by abs(r) desc nulls last, first_feature desc, second_feature desc limit 3"""
 
 
+_PAIRS = _pairs_sql(NUMERIC)
+
+
 @query("d18_strongest_pairs", with_listings(
     f"select first_feature, second_feature, {q('r', 9)} as r, abs(r) > 0.7 as overlap from ({_PAIRS})", MATRIX_CTE))
 def d18_strongest_pairs(spark, folder):
     return rounded(strongest_pairs(correlation_matrix(listings(spark, folder))), 9)
 
 
+@query("d18_strongest_pairs_encoded", with_listings(
+    f"select first_feature, second_feature, {q('r', 9)} as r, abs(r) > 0.7 as overlap "
+    f"from ({_pairs_sql([*NUMERIC, 'category_target'])})",
+    "coded as materialized (select *, avg(discount_percentage) over (partition by top_category) as category_target "
+    f"from listings),\n{matrix_cte('matrix', 'coded', [*NUMERIC, 'category_target'])}"))
+def d18_strongest_pairs_encoded(spark, folder):
+    return rounded(strongest_pairs(encoded_correlation_matrix(listings(spark, folder), "target")), 9)
+
+
 def _quoted(text):
     return "'" + text.replace("'", "''") + "'"
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from priceloom.functions.scalars import clamp_percent, formula_price, implied_discount, not_discounted
 from priceloom.operators.drift import check_drift
 from priceloom.operators.training import score
 from priceloom.schema import DISCOUNT_FEATURES, INPUT_BOUNDS
@@ -42,6 +43,26 @@ def scored_with_drift(requests: DataFrame, model: PipelineModel, stats: DataFram
     )
 
 
+def discount_answers(requests: DataFrame, model: PipelineModel, stats: DataFrame) -> DataFrame:
+    """Requests with the clamped prediction, the discount that the prices imply, their difference and the drift flag."""
+    scored = check_drift(score(model, requests), stats, DISCOUNT_FEATURES)
+    answered = scored.withColumns({
+        "predicted": clamp_percent(F.col("prediction")),
+        "implied": implied_discount(F.col("actual_price"), F.col("discounted_price")),
+    })
+    return answered.withColumn("difference", F.col("predicted") - F.col("implied")).drop("prediction", "z_scores")
+
+
+def price_answers(requests: DataFrame, model: PipelineModel) -> DataFrame:
+    """Requests with the predicted price, the formula price, their difference, and a mark on prices not below the list."""
+    answered = score(model, requests).withColumnRenamed("prediction", "predicted").withColumn(
+        "formula", formula_price(F.col("actual_price"), F.col("discount_percentage")))
+    return answered.withColumns({
+        "difference": F.col("predicted") - F.col("formula"),
+        "above_list": not_discounted(F.col("actual_price"), F.col("predicted")),
+    })
+
+
 def read_requests(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet",
                   files_per_trigger: int = 1000) -> DataFrame:
     """An unbounded table of requests: new files in a folder."""
