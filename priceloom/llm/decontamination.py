@@ -7,6 +7,9 @@ Candidates are verified by the weighted (multiset) similarity of their shingles.
 
 Similarity ``s`` of two windows of ``m`` shingles means ``2 m s / (1 + s)`` shared ones, so a window that holds
 fewer shingles of the benchmark cannot reach it and gets no fingerprint; nothing is lost by that.
+
+A text with fewer words than an item is one window as a whole. It is compared without fingerprints: items
+that hold one of its rarest shingles, so many that a similar item cannot lack them all, are verified.
 """
 
 from collections import Counter
@@ -63,11 +66,18 @@ class Index:
         lengths: dict[int, list] = {}
         texts = pa.array([text for _, text in items], pa.string())
         hashes, first = _word_hashes(texts) if len(items) else (np.zeros(0, _U), np.zeros(1, np.int64))
+        #: By shingle size and shingle, the items it stands in: ``(number of shingles, place in members)``.
+        self.holders: dict[int, dict] = {}
         for i, (item_id, _) in enumerate(items):
             own = hashes[first[i]:first[i + 1]]
             if len(own):
-                shingles = _shingles(own, min(size, len(own)))
-                lengths.setdefault(len(own), []).append((item_id, Counter(shingles.tolist()), shingles))
+                k = min(size, len(own))
+                shingles = _shingles(own, k)
+                members = lengths.setdefault(len(own), [])
+                members.append((item_id, Counter(shingles.tolist()), shingles))
+                for shingle in members[-1][1]:
+                    self.holders.setdefault(k, {}).setdefault(shingle, []).append((len(shingles), len(members) - 1))
+        self.members = {(min(size, n), n - min(size, n) + 1): v for n, v in lengths.items()}
         self.classes = []
         for n, members in sorted(lengths.items()):
             prints = np.concatenate([simhash(s[None, :]) for _, _, s in members])
@@ -102,6 +112,7 @@ class Index:
             total = np.zeros(len(shingles) + 1, np.int32)
             total[marked + 1] = 1
             total = np.cumsum(total)
+            self._verify_short(shingles, total, k, first, best)
             for n, members, prints, near, _ in self.classes:
                 if min(self.size, n) != k:
                     continue
@@ -116,6 +127,28 @@ class Index:
         return [(row, item, s, int(p - first[row])) for (row, item), (s, p) in sorted(
             best.items(), key=lambda x: (x[0][0], str(x[0][1])))]
 
+    def _verify_short(self, shingles, total, k, first, best):
+        """Texts with fewer words than an item, each as a whole against the longer items of similar length."""
+        held = self.holders[k]
+        size = np.maximum(0, np.diff(first) - k + 1)
+        begin = np.minimum(first[:-1], len(shingles))
+        # An item holds more shingles than the text, so at least 2 m s / (1 + s) of the text's m are shared.
+        need = 2 * size * self.similarity / (1 + self.similarity) - 1e-9
+        for row in np.flatnonzero((size > 0) & (total[np.minimum(begin + size, len(shingles))] - total[begin] >= need)):
+            m = int(size[row])
+            own = shingles[begin[row]:begin[row] + m].tolist()
+            spare = m - int(np.ceil(need[row]))
+            own.sort(key=lambda x: len(held.get(x, ())))
+            counts = Counter(own)
+            near = {place for x in set(own[:spare + 1]) for place in held.get(x, ())
+                    if place[0] > m >= place[0] * self.similarity - 1e-9}
+            for longer, i in near:
+                item_id, shingled, _ = self.members[k, longer][i]
+                shared = sum((counts & shingled).values())
+                similarity = shared / (m + longer - shared)
+                if similarity >= self.similarity and similarity > best.get((int(row), item_id), (0.0, 0))[0]:
+                    best[int(row), item_id] = similarity, int(first[row])
+
     @staticmethod
     def _starts(marked, m, last):
         """Window starts that hold a marked shingle, without repeats."""
@@ -183,7 +216,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", similarity
     """``row`` (the columns of ``docs`` but the text), ``item_id``, ``similarity`` and ``first_word`` of the best window.
 
     One row per document and benchmark item with a window at least ``similarity`` alike; the earliest of
-    equally good windows. Windows and items have equal numbers of words; an item below five words is one
+    equally good windows. Windows and items have equal numbers of words; a text shorter than the item is one window
+    as a whole, its similarity the shared shingles over those of both. An item below five words is one
     shingle of all its words. Null and empty texts and items match nothing. Repeated items share their id
     if it is the same, else each is found. The benchmark is read in blocks, one pass over the documents each.
     """

@@ -85,3 +85,45 @@ def test_empty(spark):
     assert d.leak_report(rows, none).count() == 0 and d.without_leaks(rows, none).count() == 1
     assert d.leak_report(rows.limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
     assert d.Index([]).matches(pa.array(["a"])) == []
+
+
+def brute_with_short(texts, items):
+    """As ``brute``, and a text shorter than the item is one window as a whole."""
+    out = brute(texts, items)
+    for i, text in enumerate(texts):
+        words = (text or "").lower().split()
+        for item_id, item in items:
+            own = (item or "").lower().split()
+            k = min(5, len(own))
+            if k <= len(words) < len(own):
+                a, b = shingles(words, k), shingles(own, k)
+                s = sum((a & b).values()) / sum((a | b).values())
+                if s >= 0.8:
+                    out[i, item_id] = max(out.get((i, item_id), 0), round(s, 9))
+    return out
+
+
+def test_texts_shorter_than_an_item(spark):
+    rng = random.Random(9)
+    texts, items = case()
+    items += [(100 + j, " ".join(rng.choices("abc", k=rng.randrange(6, 60)))) for j in range(10)]
+    # The same passage at several lengths, and one that agrees only in shingles many items share.
+    stem = [f"s{i}" for i in range(59)]
+    items += [(200 + n, " ".join(stem[:n])) for n in (40, 45, 50, 55, 59)]
+    for item_id, item in items:
+        own = (item or "").split()
+        for drop in range(1, len(own)):
+            at = rng.randrange(drop + 1)
+            passage = own[at:len(own) - drop + at]
+            if drop % 3 == 2:
+                passage[rng.randrange(len(passage))] = "other"
+            texts.append((" ".join(passage)).upper() if drop % 2 else "\n".join(passage))
+    texts.append(" ".join(stem[:55]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in d.leak_report(rows, bench).collect()}
+    expected = brute_with_short(texts, items)
+    assert found == expected and len(expected) > len(brute(texts, items)) + 100
+    assert (len(texts) - 1, 259) in expected
+    kept = sorted(r.doc_id for r in d.without_leaks(rows, bench).collect())
+    assert kept == sorted(set(range(len(texts))) - {i for i, _ in expected})
