@@ -149,7 +149,11 @@ def _nodes(threshold, width, ranged):
                     left = part.column("left")
                     owner = np.repeat(owner, left.value_lengths().to_numpy(zero_copy_only=False))
                     pairs = left.flatten()
-                    near, far = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
+                    # The speaker at the border of two pieces of a text has a context in each and is asked for the
+                    # windows of both: each context reads its own.
+                    low, high = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
+                    own = (low >= near[owner]) & (high <= far[owner])
+                    owner, near, far = owner[own], low[own], high[own]
                 if not len(owner):
                     continue
                 count = far // width - near // width + 1

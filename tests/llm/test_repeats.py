@@ -2,6 +2,7 @@ import random
 
 import brute
 import pytest
+from pyspark import cloudpickle
 
 from priceloom.llm import arrays, repeats
 
@@ -55,3 +56,22 @@ def test_null_and_repeated_ids(spark):
     found = repeats.repeat_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in found) == [
         (0, 500, 500), (1, 0, 0), (1, 500, 500), (1, 500, 500), (2, 1, 0)]
+
+
+@pytest.mark.parametrize("threshold", [8, 75])
+@pytest.mark.parametrize("piece", [50, 110])
+def test_texts_in_pieces_against_brute_force(spark, monkeypatch, piece, threshold):
+    monkeypatch.setattr(repeats, "SLICE_BYTES", piece)
+    monkeypatch.setattr(repeats, "slices", lambda batch, column: arrays.slices(batch, column, piece))
+    rng = random.Random(7)
+    texts = corpus(rng)
+    # Near copies of long texts: with an earlier insertion the pieces are cut elsewhere in them.
+    for _ in range(6):
+        long = "".join(rng.choices("abcdefghij", k=rng.randrange(200, 700)))
+        texts += [long, "x" * rng.randrange(1, 40) + long, long[:90] + "y" * rng.randrange(1, 40) + long[90:]]
+    cloudpickle.register_pickle_by_value(repeats)  # so that tasks cut as this process does
+    try:
+        found = report(spark, texts, threshold)
+    finally:
+        cloudpickle.unregister_pickle_by_value(repeats)
+    assert [found[i] for i in range(len(texts))] == brute.removed(texts, threshold)
