@@ -73,3 +73,20 @@ def test_secrets_follow_the_votes(spark):
 
 def test_empty(spark):
     assert private_data.private_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_secrets(spark):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    tokens = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(20)]
+    tokens += ["".join(rng.choices(letters + "0123456789", k=n)) + "7" for n in (255, 256, 257, 300, 1000, 5000)]
+    tokens += ["".join(rng.choices(letters, k=n)) + "7" for n in (64, 65, 100, 300)]
+    tokens.append("a" * 300_000 + "7" + "b" * 300_000)
+    texts = [f'some words token = "{t}" more' for t in tokens] + ["a" * 600_000, "a" * 18 + "7", "-" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    secret = private_data.KINDS.index("secret")
+    spans = {r.row.doc_id: [(x.start, x.end) for x in r.spans if x.kind == secret]
+             for r in private_data.proposals(rows).collect()}
+    assert [spans[i] for i in range(len(texts))] == [[(20, 20 + len(t))] for t in tokens] + [[], [], []]
+    masked = {r.doc_id: r.text for r in private_data.mask_private(rows).collect()}
+    assert all(masked[i] == 'some words token = "<secret>" more' for i in range(len(tokens)))
