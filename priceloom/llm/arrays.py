@@ -76,8 +76,9 @@ _POWERS = Powers(int(_BASE))
 class PrefixHash:
     """Hashes of any range of a byte array in constant time each.
 
-    A polynomial over random byte symbols modulo 2**64. Ranges compared here are shorter than
-    1,024 bytes, below the length at which such polynomials collide for periodic words.
+    A polynomial over random byte symbols modulo 2**64. Different ranges agree by chance once in 2**64;
+    strings built to collide (a Thue-Morse word of 512 bytes and its complement, for some pairs of
+    letters) exist.
     """
 
     def __init__(self, data: np.ndarray):

@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from priceloom.llm import (bpe, decontamination, language, private_data, quality_model, quality_rules, repeats, simhash,
-                           token_counts, warc)
+from priceloom.llm import (bpe, decontamination, hard_negatives, language, merkle, private_data, quality_model,
+                           quality_rules, repeats, simhash, token_counts, warc)
 from priceloom.llm.oracles import ORACLES as ORACLES
 
 QUERIES = {}
@@ -73,3 +73,13 @@ def op9_simhash_near_dedup(spark, folder):
 @query
 def op10_bpe_round_trip(spark, folder):
     return bpe.bpe_report(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op12_hard_negatives(spark, folder):
+    return hard_negatives.mined(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_merkle_manifest(spark, folder):
+    return merkle.manifest_report(table(spark, folder, "documents").select(*merkle.FIELDS))

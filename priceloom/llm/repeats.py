@@ -3,7 +3,9 @@
 Suffixes are ordered only through ``threshold`` bytes, by most-significant-digit passes over
 groups: a group of equal prefixes is split by its next digit, a group of one leaves at once, and
 groups that are still equal at full depth are exactly the repeated windows. Digits are compared
-by 64-bit fingerprints within a group, so the order inside a pass is that of the fingerprints.
+by 64-bit fingerprints within a group, so the order inside a pass is that of the fingerprints, and
+windows are equal when two or three fingerprints are: bytes are not compared again. Chance makes that
+safe, an adversary who knows the symbols of ``arrays.py`` could build strings that agree.
 
 Sorting every byte position would shuffle many times the corpus. The first digit is therefore read
 at synchronising positions only: of all digits that begin inside a window of ``threshold`` bytes,
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priceloom.llm.arrays import SLICE_BYTES, PrefixHash, flat, mix, shared_minimum, slices
-from priceloom.llm.workspace import stored
+from priceloom.llm.workspace import Shelf, stored
 
 _U = np.uint64
 _INDEX_BITS = _U(22)
@@ -184,7 +186,7 @@ def _repeated(df: DataFrame, *group: str) -> DataFrame:
             .where("id_low <> id_high"))
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", threshold: int = 400) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str = "text", threshold: int = 400, shelf: Shelf | None = None) -> DataFrame:
     """Where long strings repeat: one row ``(key, spans)`` per text that holds any.
 
     ``key`` is ``text_key`` of the text, ``spans`` an array of ``(start, stop)`` byte ranges, unsorted and
@@ -192,8 +194,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", threshold: int = 400) ->
     elsewhere in another text or at another place of this one. Texts that occur in several rows count
     once here; see ``remove_repeats``. Nulls and texts shorter than ``threshold`` have no spans.
 
-    The passes run when this is called; their tables are kept in the shared folder.
+    The passes run when this is called. Their tables lie in the shared folder, on ``shelf``; one goes as soon
+    as its successor is written, and only the spans are left at the end.
     """
+    shelf = shelf or Shelf(docs.sparkSession)
     head = max(1, threshold * 8 // 25)
     block = max(1, threshold // 25)  # window starts that the second digit decides about together
     source = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= threshold)
@@ -202,39 +206,42 @@ def repeated_spans(docs: DataFrame, text: str = "text", threshold: int = 400) ->
     digits = (heads.groupBy("digit").agg(F.min(F.least("id", "id_again")).alias("id_low"),
                                          F.max(F.greatest("id", "id_again")).alias("id_high"))
               .where("id_low <> id_high").select("digit"))
-    alive = stored(heads.join(digits, "digit"))
+    alive = shelf.put("heads", heads.join(digits, "digit"))
     runs = alive.groupBy("digit", "run").agg(
         F.min("id").alias("first_id"),
         (F.min(F.least("id", "id_again")) != F.max(F.greatest("id", "id_again"))).alias("repeats"))
     kinds = runs.groupBy("digit").agg((F.count("*") > 1).alias("mixed"))
-    groups = stored(runs.join(kinds.select("digit", "mixed"), "digit"))
-    alive = stored(alive.join(groups, ["digit", "run"]).select(
+    groups = shelf.put("groups", runs.join(kinds.select("digit", "mixed"), "digit"))
+    alive = shelf.put("alive", alive.join(groups, ["digit", "run"]).select(
         "key", "digit", "id", "at", "low", "high", "stop", "repeats",
         (~F.col("repeats") | ((F.col("id") == F.col("first_id")) & F.col("mixed"))).alias("asked")))
+    shelf.drop("heads", "groups")
     spans = alive.where("repeats").select("key", F.col("low").alias("start"), "stop")
 
     asked = (alive.where("asked").groupBy("key").agg(F.collect_set(F.struct(
         "digit", "id", (~F.col("repeats")).alias("needed"), "at", "low", "high")).alias("asked")))
     texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
-    contexts = stored(texts.join(asked, "key").mapInArrow(_contexts(threshold), CONTEXTS))
+    contexts = shelf.put("contexts", texts.join(asked, "key").mapInArrow(_contexts(threshold), CONTEXTS))
     nodes = contexts.mapInArrow(_nodes(threshold, block, False), NODES)
     shared = _repeated(nodes, "digit", "shared").select("digit", "shared")
-    nodes = stored(nodes.join(shared, ["digit", "shared"]))
+    nodes = shelf.put("blocks", nodes.join(shared, ["digit", "shared"]))
     whole = _repeated(nodes, "digit", "whole").select("digit", "whole", F.lit(True).alias("all_repeat"))
-    nodes = stored(nodes.join(whole, ["digit", "whole"], "left"))
+    nodes = shelf.put("nodes", nodes.join(whole, ["digit", "whole"], "left"))
+    shelf.drop("blocks")
     spans = spans.unionByName(_as_spans(nodes.where("all_repeat and needed"), threshold))
 
     # A block that repeats as a whole still shows its windows to the blocks that do not.
-    left = nodes.groupBy("key", "at").agg(F.collect_set(F.struct("first", "last")).alias("left"),
-                                          F.max(F.col("all_repeat").isNull()).alias("open"))
+    left = nodes.groupBy("key", "at").agg(F.collect_set(F.struct("first", "last")).alias("left"))
     mixed = nodes.groupBy("digit").agg(F.max(F.col("all_repeat").isNull()).alias("mixed")).where("mixed")
-    windows = (contexts.join(left.drop("open"), ["key", "at"]).join(mixed.select("digit"), "digit")
+    windows = (contexts.join(left, ["key", "at"]).join(mixed.select("digit"), "digit")
                .select(*contexts.columns, "left")
                .mapInArrow(_nodes(threshold, 1, True), NODES))
     equal = _repeated(windows, "digit", "whole").select("digit", "whole")
     spans = spans.unionByName(_as_spans(windows.where("needed").join(equal, ["digit", "whole"]), threshold))
-    return (spans.groupBy("key", "start").agg(F.max("stop").alias("stop"))
-            .groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    spans = shelf.put("spans", spans.groupBy("key", "start").agg(F.max("stop").alias("stop"))
+                      .groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    shelf.drop("alive", "contexts", "nodes")
+    return spans
 
 
 def _as_spans(nodes: DataFrame, threshold: int) -> DataFrame:
@@ -287,7 +294,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", threshold: int = 400) ->
     the remaining bytes (UTF-8 may be cut inside a character). Ties need no rule: positions of a
     group are treated alike. An empty table gives no rows; other columns are not read.
     """
-    spans = stored(repeated_spans(docs, text, threshold))
+    spans = repeated_spans(docs, text, threshold)
     texts = (docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
              .select(text_key(F.col("text")).alias("key"), "text")
              .groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")))

@@ -1,24 +1,52 @@
 """Tables between the phases of an operator, in the folder that all executors share."""
 
-import gc
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from priceloom.session import ensure_checkpoint_dir
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_end_with_the_query(spark: SparkSession):
+    """Shuffle files of the queries that run here are removed when the query that wrote them ends."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again: a compressed cut of the lineage.
 
-    Shuffle files of the finished phase are of no use any more. Spark removes them when the driver
-    collects the objects they belong to, so the driver is asked to collect now.
+class Shelf:
+    """Named Parquet tables of one run of an operator: compressed cuts of the lineage.
+
+    ``put`` writes a table and reads it again; the shuffle files of that phase go when it ends. ``drop``
+    empties tables whose successors are written, so that disk is bounded by the tables still in use.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4()}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4()}"
+        self.schemas = {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        with _shuffles_end_with_the_query(self.spark):
+            df.write.parquet(path)
+        self.schemas[name] = df.schema
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Overwrite tables with empty ones. Nothing that reads them may run any more."""
+        for name in names:
+            empty = self.spark.createDataFrame([], self.schemas[name])
+            empty.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it again."""
+    return Shelf(df.sparkSession).put("table", df)
