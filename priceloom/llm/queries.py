@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from priceloom.llm import (bpe, decontamination, hard_negatives, language, merkle, private_data, quality_model,
-                           quality_rules, repeats, simhash, token_counts, warc)
+                           quality_rules, repeats, set_join, simhash, token_counts, warc)
 from priceloom.llm.oracles import ORACLES as ORACLES
 
 QUERIES = {}
@@ -75,6 +75,11 @@ def op10_bpe_round_trip(spark, folder):
     return bpe.bpe_report(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op11_ngram_jaccard_join(spark, folder):
+    return set_join.similar_sets(documents(spark, folder))
+
+
 @query
 def op12_hard_negatives(spark, folder):
     return hard_negatives.mined(table(spark, folder, "embeddings"))
