@@ -16,7 +16,7 @@ def blocks_of(rows: int, block_rows: int) -> int:
 
 
 def compare_blocks(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                   compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str, left_rows: int = LEFT_ROWS,
+                   compare: Callable[[pa.Table, pa.Table], pa.Table], schema, left_rows: int = LEFT_ROWS,
                    right_rows: int = RIGHT_ROWS) -> DataFrame:
     """Call ``compare(left block, right block)`` once for every pair of blocks and unite what it returns.
 

@@ -1,9 +1,12 @@
 """Drift, scoring in batch and as a stream, retrieval and prompts."""
 
+from string import Formatter
+
 from pyspark.sql import functions as F
 
+from priceloom.functions.text import PROMPT
 from priceloom.operators.drift import check_drift, drift_report, with_z_scores
-from priceloom.operators.retrieval import hashed_vectors, nearest_documents, prompts, with_documents
+from priceloom.operators.retrieval import bucket_vectors, nearest_documents, prompts, with_documents
 from priceloom.operators.summary import training_stats
 from priceloom.operators.training import fit_model
 from priceloom.plans.cleaning import scratch
@@ -145,6 +148,15 @@ def _vectors(spark, folder):
     return table(spark, folder, "embeddings")
 
 
+def prompt_sql(**values: str) -> str:
+    """The prompt around SQL expressions."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(PROMPT):
+        parts += ["e'" + text.replace("'", "''").replace("\n", "\\n") + "'"] if text else []
+        parts += [values[name]] if name else []
+    return " || ".join(parts)
+
+
 def _neighbours(spark, folder, k=3, **columns):
     vectors = _vectors(spark, folder)
     corpus = vectors.select(F.col("vec_id").alias("doc_id"), "embedding")
@@ -205,24 +217,43 @@ def g4_neighbour_texts(spark, folder):
 @query("b18_prompts", f"""
 with {_RANKED}
 select query_id, string_agg(d.text, e'\\n\\n' order by rank) as context,
-       'You are a helpful e-commerce assistant. Answer the question using only the product information provided below.'
-       || e'\\n\\nProduct Information:\\n' || string_agg(d.text, e'\\n\\n' order by rank) || e'\\n\\nQuestion: '
-       || any_value(asked.text) || e'\\n\\nAnswer:' as prompt
+       {prompt_sql(context="string_agg(d.text, e'\\n\\n' order by rank)", question="any_value(asked.text)")} as prompt
 from ranked join documents d using (doc_id) join documents asked on asked.doc_id = query_id
 where rank <= 3 group by query_id""")
 def b18_prompts(spark, folder):
     documents = table(spark, folder, "documents")
     found = with_documents(_neighbours(spark, folder), documents, text="text")
-    framed = prompts(found, documents, query_key="doc_id", text="text")
+    asked = documents.join(_vectors(spark, folder).select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    framed = prompts(found, asked, query_key="doc_id", text="text")
     return framed.select("query_id", F.concat_ws("\n\n", "sources").alias("context"), "prompt")
 
 
-@query("g6_question_prompts")
+@query("g6_question_prompts", r"""
+with texts as (
+  select 'd' as kind, cast(doc_id as varchar) as id, text from documents
+  union all select 'q', concat_ws('-', conv_id, turn), text from conversations where role = 'user'
+), words as (select kind, id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[\t-\r ]+')) as word from texts),
+buckets as (select kind, id, ('0x' || substring(md5(word), 1, 8))::bigint % 384 as bucket, count(*) as n
+            from words where word <> '' group by all),
+weights as (select *, cast(cast(n / sqrt(sum(n * n) over (partition by kind, id)) as float) as double) as w from buckets),
+squares as (select kind, id, coalesce(sum(w * w), 0) as square from texts left join weights using (kind, id) group by all),
+dots as (select q.id as query_id, d.id as doc_id, sum(q.w * d.w) as dot
+         from weights q join weights d on q.kind = 'q' and d.kind = 'd' and q.bucket = d.bucket group by all),
+ranked as (
+  select q.id as query_id, d.id::bigint as doc_id, row_number() over (
+           partition by q.id order by round(q.square + d.square - 2 * coalesce(dot, 0), 9), d.id::bigint) as rank
+  from squares q join squares d on q.kind = 'q' and d.kind = 'd' left join dots on query_id = q.id and dots.doc_id = d.id
+), sources as (
+  select query_id, string_agg(text, e'\n\n' order by rank) as context, list(text order by rank) as sources
+  from ranked join documents using (doc_id) where rank <= 3 group by query_id
+)
+select query_id, c.text as question, """ + prompt_sql(context="context", question="c.text") + """ as prompt, sources
+from sources join conversations c on query_id = concat_ws('-', conv_id, turn) and role = 'user'""")
 def g6_question_prompts(spark, folder):
-    """Every user turn asks the documents, over hashed vectors of the whole texts."""
+    """Every user turn asks the documents, over word-bucket vectors of the whole texts."""
     asked = table(spark, folder, "conversations").where("role = 'user'")
     asked = asked.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("question"))
     documents = table(spark, folder, "documents")
     path = scratch(spark, "vectors")
-    write_vectors(hashed_vectors(documents.withColumnRenamed("text", "document"), "document"), path)
-    return question_prompts(asked, read_vectors(spark, path))
+    write_vectors(bucket_vectors(documents.withColumnRenamed("text", "document"), "document"), path)
+    return question_prompts(asked, read_vectors(spark, path), encode=bucket_vectors)

@@ -3,17 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from priceloom.schema import RAW_COLUMNS
+from priceloom.sources.csv_ranges import read_csv_ranges
 
 
 def read_listings_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Raw listings from CSV with a header, every column a string; columns beyond the known ones are kept.
 
     Types are never inferred: only the header line is read ahead. Quoted fields may hold line
-    breaks, which makes a file one task; pass ``multiline=False`` for files that have none, so
-    that a large file is split. A missing path and a missing column both fail at once.
+    breaks, and a large file is still read by many tasks (``csv_ranges``); ``multiline=False`` saves
+    the scan that this takes for files without such breaks. A missing path and a missing column both
+    fail at once.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
-    df = reader.option("multiLine", multiline).csv(path)
+    if multiline:
+        df = read_csv_ranges(spark, path)
+    else:
+        df = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).csv(path)
     missing = [c for c in RAW_COLUMNS if c not in df.columns]
     if missing:
         raise KeyError(f"columns not in {path}: {', '.join(missing)}")

@@ -130,9 +130,11 @@ def as_rows(df):
     return sorted((r.query_id, r["rank"], r.doc_id, r.distance) for r in df.collect())
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_neighbours_match_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+@pytest.mark.parametrize("blocks", [(2048, 4096), (7, 40)])
+def test_neighbours_match_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(retrieval, "QUESTION_ROWS", blocks[0])
+    monkeypatch.setattr(retrieval, "DOCUMENT_ROWS", blocks[1])
+    monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 100 * blocks[0])
     rng = np.random.default_rng(4)
     base = rng.normal(size=(150, 8)).astype(np.float32)
     # Half of the corpus is copies of one vector: ties must go to the smaller key.
@@ -208,6 +210,24 @@ def test_prompt_text(spark):
         "Product Information:\ndoc 0\n\ndoc 1\n\nQuestion: Which?\n\nAnswer:")
 
 
+def test_every_question_has_a_prompt(spark):
+    corpus = spark.createDataFrame([(1, "red lamp", "v"), (2, "blue pen", "v")], "doc_id long, document string, extra string")
+    corpus = retrieval.bucket_vectors(corpus, "document")
+    rows = [("a", "lamp"), ("a", "pen"), ("b", None), (None, "red")]
+    asked = spark.createDataFrame(rows, "query_id string, question string")
+    got = question_prompts(asked, corpus, 1, encode=retrieval.bucket_vectors).collect()
+    assert sorted((str(r.query_id), str(r.question), tuple(r.sources)) for r in got if r.question) == [
+        ("None", "red", ("red lamp",)), ("a", "lamp", ("red lamp",)), ("a", "pen", ("blue pen",))]
+    nothing = question_prompts(asked, corpus.where("doc_id > 5"), 1, encode=retrieval.bucket_vectors).collect()
+    assert len(nothing) == 4 and all(r.sources == [] for r in nothing)
+
+
+def test_vectors_that_are_missing_or_not_numbers(spark):
+    corpus = spark.createDataFrame([(1, [1.0]), (2, None), (3, [float("nan")]), (4, [3.0])], "doc_id long, embedding array<float>")
+    asked = spark.createDataFrame([("a", [0.0]), ("b", None), ("c", [float("nan")])], "query_id string, embedding array<float>")
+    assert as_rows(nearest_documents(asked, corpus, 3)) == [("a", 1, 1, 1.0), ("a", 2, 4, 9.0)]
+
+
 def test_training_and_questions_end_to_end(spark, tmp_path, sample_rows):
     rng = np.random.default_rng(6)
     rows = []
