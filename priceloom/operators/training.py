@@ -1,6 +1,8 @@
 """Regression models by name: training, scoring, hold-out quality, what a model relies on."""
 
 import json
+from functools import reduce
+from math import isnan
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 
 from priceloom.operators.clean import feature_target
 from priceloom.operators.metrics import evaluate
-from priceloom.operators.split import IS_TEST, in_test, with_split
+from priceloom.operators.moments import fit_quality, least_squares, moment_aggregates, moments_of_row, pooled
+from priceloom.operators.split import IS_TEST, fold_of, in_test, with_split
 from priceloom.schema import KEY, TASKS
 from priceloom.session import ensure_checkpoint_dir, held
 
@@ -114,18 +117,52 @@ def holdout_quality(model: PipelineModel, df: DataFrame, task: str, key: str = K
 def parameter_sweep(df: DataFrame, name: str, task: str, settings: list[dict], key: str = KEY) -> DataFrame:
     """Hold-out quality of each parameter set: ``(parameters, rmse, mae, r2)``, best first.
 
-    All sets are checked against the accepted ranges before the first fit; every set is one fit.
+    All sets are checked against the accepted ranges before the first fit; every set is one fit. Features and
+    target are read once and held for all of them. ``ridge_folds`` answers many ridge penalties without a fit each.
     """
     for overrides in settings:
         model_parameters(name, overrides)
+    features, target = TASKS[task]
     rows = []
-    for overrides in settings:
-        found = evaluate(holdout_predictions(df, name, task, overrides, key=key), "actual", "prediction").first()
-        rows.append((json.dumps(overrides, sort_keys=True), found["rmse"], found["mae"], found["r2"]))
+    with held(with_split(df, key).select(IS_TEST, *features, target)) as ready:
+        train, test = ready.where(~F.col(IS_TEST)), ready.where(F.col(IS_TEST))
+        for overrides in settings:
+            found = evaluate_model(fit_model(train, name, features, target, overrides), test, target)
+            rows.append((json.dumps(overrides, sort_keys=True), found["rmse"], found["mae"], found["r2"]))
     table = df.sparkSession.createDataFrame(rows, "parameters string, rmse double, mae double, r2 double")
     return table.orderBy("rmse", "parameters")
 
 
+def ridge_folds(df: DataFrame, task: str, alphas: list[float], folds: int = 5, key: str = KEY) -> DataFrame:
+    """Cross-validated ridge regression: ``(alpha, fold, rows, rmse, r2)``, all penalties from one scan.
+
+    The scan sums up counts, means and covariances of every fold, ``folds`` rows of d x d numbers. Moments add up, so
+    the training side of a fold is the sum of the others, and neither a fit nor the quality on the fold left out
+    needs the rows again. ``r2`` is null where the target does not vary in a fold; a fold that is empty, or whose
+    training side is, has no row.
+    """
+    for alpha in alphas:
+        model_parameters("Ridge Regression", {"alpha": alpha})
+    if folds < 2:
+        raise ValueError("cross-validation takes two folds at least")
+    features, target = TASKS[task]
+    columns = [*features, target]
+    sums = (df.groupBy(fold_of(F.col(key), folds).alias("fold")).agg(*moment_aggregates(columns))
+            .where("fold is not null").collect())
+    found = {row["fold"]: moments_of_row(row, columns) for row in sums}
+    rows = []
+    for fold, test in sorted(found.items()):
+        others = [m for f, m in found.items() if f != fold]
+        if not others:
+            continue
+        train = reduce(pooled, others)
+        for alpha in alphas:
+            quality = fit_quality(test, features, target, *least_squares(train, features, target, alpha))
+            r2, rmse = (None if isnan(v) else v for v in quality)
+            rows.append((float(alpha), fold, test.n, rmse, r2))
+    return df.sparkSession.createDataFrame(rows, "alpha double, fold int, rows long, rmse double, r2 double")
+
+
 def train_random_forest(df: DataFrame, features: list[str], target: str, test_size: float = 0.2, trees: int = 100,
                         max_depth: int | None = None, key: str = KEY) -> tuple[PipelineModel, dict]:
     """A forest and its quality on held-out rows."""
