@@ -46,7 +46,7 @@ ENTRY_COST = 3
 #: Members of a list that are compared by sketches; a longer list is one candidate group.
 LIST_MEMBERS = 4096
 #: Shingles of a component that a tile holds.
-TILE_SHINGLES = 1 << 21
+TILE_SHINGLES = 1 << 17
 
 _U = np.uint64
 _BUCKET_BITS = 20
@@ -415,14 +415,15 @@ LINKS = "a binary, b binary"
 
 def _candidate_links(shelf: Shelf, entries: DataFrame, sets: DataFrame, share: int, limit: int) -> DataFrame:
     lists = entries.where("second = -1")
+    # The large joins are merge joins at every size, so that shuffles stay in proportion to the input.
     # A set that stands in several batches repeats its entries; a list is alive if it holds two sets.
     alive = (lists.groupBy("token").agg(F.count("*").alias("members"), F.min("tag").alias("low"), F.max("tag").alias("high"))
              .where("low <> high").select("token", "members"))
-    alive = shelf.put("lists", lists.join(alive, "token").select("token", "members", "key"))
+    alive = shelf.put("lists", lists.join(alive.hint("merge"), "token").select("token", "members", "key"))
     long = alive.where(F.col("members") > LIST_MEMBERS)
     hubs = long.groupBy("token").agg(F.min("key").alias("hub"))
     together = long.join(hubs, "token").select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    short = (alive.where(F.col("members") <= LIST_MEMBERS).join(sets.select("key", "n", "sketch"), "key")
+    short = (alive.where(F.col("members") <= LIST_MEMBERS).join(sets.select("key", "n", "sketch").hint("merge"), "key")
              .select("token", "key", "n", "sketch").repartition("token").sortWithinPartitions("token", "key"))
     return together.unionByName(short.mapInArrow(_candidates(share, limit), LINKS)).where("a <> b").distinct()
 
@@ -438,8 +439,8 @@ def _large_links(shelf: Shelf, docs: DataFrame, sets: DataFrame, candidates: Dat
                  share: int) -> list[DataFrame]:
     """Links among candidates that shingles confirm."""
     groups = shelf.put("groups", connected_components(candidates).toDF("key", "root")
-                       .join(sets.select("key", "n", "place"), "key"))
-    texts = shelf.put("texts", docs.join(groups.select("place", "key"), "place").select("key", F.col("text").cast("binary")))
+                       .join(sets.select("key", "n", "place").hint("merge"), "key"))
+    texts = shelf.put("texts", docs.join(groups.select("place", "key").hint("merge"), "place").select("key", F.col("text").cast("binary")))
     tiles = groups.groupBy("root").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("tiles"))
     members = shelf.put("members", groups.join(tiles, "root").select(
         "root", "key", "n", "tiles", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile")))
@@ -501,5 +502,5 @@ def similar_sets(docs: DataFrame, words: int = WORDS, share: int = SHARE, limit:
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = shelf.put("classes", grouped.join(least, "root").select("key", "component_id"))
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.where("n > 0").join(classes, "key").select(
+    return rows.where("n > 0").join(classes.hint("merge"), "key").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
