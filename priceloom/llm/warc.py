@@ -10,6 +10,7 @@ import gzip
 import hashlib
 import io
 import uuid
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,11 @@ def _field(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), safe)
 
 
+def _key_field(name: str, value: Column) -> Column:
+    """As ``_field``, but lossless: percent signs are encoded as well, so that every ``%XX`` can be decoded again."""
+    return _field(name, F.replace(value.cast("string"), F.lit("%"), F.lit("%25")))
+
+
 def resolved(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Pages with their digest and the first page of equal payload (``first``, null for responses).
 
@@ -64,7 +70,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, da
     """Write ``pages (page_id, url, html)`` as gzipped WARC/1.1 files.
 
     An archive holds what one shuffle partition holds, at most ``records_per_file`` records. ``date`` is the
-    ``WARC-Date`` (default: now).
+    ``WARC-Date`` (default: now). Page ids of any text come back as they were; line ends in a URL stay encoded.
     """
     rows = resolved(pages, min_bytes)
     date = date if date is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -77,7 +83,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, da
         "\r\n", F.lit("WARC/1.1"),
         _field("WARC-Type", F.when(is_revisit, "revisit").otherwise("response")),
         _field("WARC-Record-ID", _record_id(F.col("page_id"), F.col("url"), F.col("digest"))),
-        _field("WARC-Date", date), _field("WARC-Target-URI", F.col("url")), _field("Page-ID", F.col("page_id")),
+        _field("WARC-Date", date), _field("WARC-Target-URI", F.col("url")), _key_field("Page-ID", F.col("page_id")),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _field("WARC-Profile", F.when(is_revisit, PROFILE)),
         _field("WARC-Refers-To", F.when(is_revisit, _record_id(F.col("first.page_id"), F.col("first.url"),
@@ -99,8 +105,10 @@ def _records(stream):
             raise ValueError(f"not a WARC record: {line[:40]!r}")
         head = {}
         while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            name, _, value = line.decode().partition(":")
-            head[name.strip().lower()] = value.strip()
+            name, _, value = line.decode().removesuffix("\n").removesuffix("\r").partition(":")
+            name = name.strip().lower()
+            # Blanks belong to a key, but for the one after the colon.
+            head[name] = unquote(value.removeprefix(" ")) if name == "page-id" else value.strip()
         block = stream.read(int(head["content-length"]))
         if len(block) != int(head["content-length"]):
             raise ValueError("archive ends inside a record")

@@ -50,6 +50,13 @@ def test_archives_are_plain_warc(spark, tmp_path):
     assert len({r.record_id for r in records}) == len(ROWS) - 1
 
 
+def test_text_keys_come_back_as_they_were(spark):
+    keys = [" a ", "b\n", "b%0A", "%", "c\r\nd", "", "\t\u00a0", "é:%25", "a"]
+    df = spark.createDataFrame([(k, None, "same") for k in keys], "page_id string, url string, html string")
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_report(spark, df).collect()}
+    assert found == {k: ("revisit", "") if k else ("response", None) for k in keys}
+
+
 def test_damage_is_noticed():
     import io
 
