@@ -54,10 +54,14 @@ def target_encode(df: DataFrame, target: str, fit_on: DataFrame | None = None) -
 def one_hot_encode(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """One 0/1 column per category, in sorted order, none dropped.
 
-    The names become columns of the plan, so they are read when this is called. ``one_hot_vector`` holds the same
-    indicators in one sparse column and suits category counts that no table should have as columns.
+    The names become columns of the plan, so they are read when this is called, after they were measured to be few.
+    ``one_hot_vector`` holds the same indicators in one sparse column, for more categories than a table should
+    have columns.
     """
-    names = [r[0] for r in df.select(TOP_CATEGORY).distinct().collect()]
+    found, small = materialise_small(df.select(TOP_CATEGORY).distinct())
+    if not small:
+        raise ValueError("too many categories for one column each: use one_hot_vector")
+    names = [r[0] for r in found.collect()]
     flags = [F.when(F.col(TOP_CATEGORY) == n, 1.0).otherwise(0.0).alias(f"cat_{n}") for n in sorted(names)]
     # A plain select: names that differ only in case are distinct categories.
     return df.select("*", *flags), [f"cat_{n}" for n in sorted(names)]

@@ -2,6 +2,7 @@
 
 from itertools import combinations_with_replacement
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from priceloom.operators.clean import with_top_category
@@ -17,7 +18,7 @@ from priceloom.operators.correlation import (
     strongest_pairs,
     target_correlations,
 )
-from priceloom.operators.encode import encode_category
+from priceloom.operators.encode import encode_category, one_hot_vector
 from priceloom.operators.histogram import histogram
 from priceloom.operators.metrics import evaluate, with_residual
 from priceloom.operators.quantile import clip_between, clip_upper, exact_quantiles
@@ -100,6 +101,17 @@ def c4_one_hot_encoding(spark, folder):
     return encoded.select("product_id", *names)
 
 
+@query("c4_one_hot_vector", with_listings("""
+select product_id, dense_rank() over (order by top_category) - 1 as position, 1.0::double as value,
+       (select count(distinct top_category) from listings) as size from listings"""))
+def c4_one_hot_vector(spark, folder):
+    """The sparse form, cell by cell."""
+    encoded, (name,) = one_hot_vector(listings(spark, folder))
+    cells = F.posexplode(vector_to_array(F.col(name))).alias("position", "value")
+    cell = encoded.select("product_id", F.size(vector_to_array(F.col(name))).cast("long").alias("size"), cells)
+    return cell.where("value <> 0").select("product_id", F.col("position").cast("long").alias("position"), "value", "size")
+
+
 @query("c0_encoding_methods", with_listings(f"""
 select product_id, cast(dense_rank() over (order by top_category) - 1 as double) as category_label,
        {q('count(*) over (partition by top_category) / (count(*) over ())')} as category_freq,

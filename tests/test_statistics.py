@@ -295,3 +295,9 @@ def test_metrics(spark):
     assert got.rmse == pytest.approx(np.sqrt(1.25 / 3)) and got.mae == pytest.approx(0.5)
     assert got.r2 == pytest.approx(1 - 1.25 / (14 / 3))
     assert evaluate(df.withColumn("y", F.lit(1.0)), "y", "p").first().r2 is None
+
+
+def test_too_many_categories_for_columns(small_listings, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    with pytest.raises(ValueError, match="one_hot_vector"):
+        encode_category(small_listings, "onehot")
