@@ -9,6 +9,7 @@ together afterwards. Spark's own CSV parser then takes every record apart.
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +21,8 @@ _RANGE = ["path", "start"]
 RECORDS = "path string, start long, part int, first boolean, record string"
 #: What a row of the second scan is: a record, the begin of one that may go on, or what goes on.
 WHOLE, TAIL, HEAD = 0, 1, 2
+#: Lines outside quotes that are no records.
+_BLANK = ("", "\r")
 _SCHEMA = pa.schema([("path", pa.string()), ("start", pa.int64()), ("part", pa.int32()), ("first", pa.bool_()),
                      ("record", pa.string())])
 
@@ -42,44 +45,59 @@ class _Cutter:
         self.path, self.start, self.inside = path, start, inside
         self.held, self.begun, self.first = [], False, start == 0
 
-    def ended(self, part: int):
-        """The rows of what is held, which ends here."""
-        if not self.held:
+    def _batch(self, part: int, records: list[str]) -> list[pa.RecordBatch]:
+        if not records:
             return []
-        row = (self.path, self.start, part if self.begun else HEAD, self.first and self.begun, "\n".join(self.held))
-        self.first = self.first and not self.begun
-        self.held = []
-        return [row]
-
-    def take(self, value: str, flips: bool):
-        rows = []
-        if not self.inside:
-            rows, self.begun = self.ended(WHOLE), True
-            if value in ("", "\r"):  # no record
-                return rows
-        self.held.append(value)
-        self.inside ^= flips
-        return rows
+        n, first = len(records), np.zeros(len(records), bool)
+        if part != HEAD:
+            first[0], self.first = self.first, False
+        columns = [pa.repeat(self.path, n), pa.repeat(pa.scalar(self.start, pa.int64()), n),
+                   pa.repeat(pa.scalar(part, pa.int32()), n), pa.array(first), pa.array(records, pa.string())]
+        return [pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)]
+
+    def ended(self, part: int) -> list[pa.RecordBatch]:
+        """What is held ends here."""
+        held, self.held = self.held, []
+        return self._batch(part if self.begun else HEAD, ["\n".join(held)] if held else [])
+
+    def take(self, lines: list[str], odd: np.ndarray) -> list[pa.RecordBatch]:
+        """Go on with some lines; ``odd`` marks those with an odd number of quotes. Records begin outside quotes."""
+        quotes = np.cumsum(odd) + self.inside
+        begins = np.flatnonzero(np.r_[self.inside, quotes[:-1]] % 2 == 0).tolist()
+        self.inside = bool(quotes[-1] % 2)
+        if not begins:
+            self.held += lines
+            return []
+        self.held += lines[:begins[0]]
+        out = self.ended(WHOLE)
+        self.begun = True
+        records = [lines[a] if b == a + 1 else "\n".join(lines[a:b]) for a, b in zip(begins, begins[1:])]
+        out += self._batch(WHOLE, [r for r in records if r not in _BLANK])
+        self.held = lines[begins[-1]:]
+        if len(self.held) == 1 and self.held[0] in _BLANK:
+            self.held = []
+        return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records of each range, from lines ``(path, start, odd, value)`` in order."""
-    cutter, rows = None, []
+    cutter = None
     for batch in batches:
-        values = batch.column("value")
-        odd = (pc.count_substring(values, '"').to_numpy(zero_copy_only=False) % 2 == 1).tolist()
-        columns = [batch.column(n).to_pylist() for n in ("path", "start", "odd")]
-        for path, start, inside, value, flips in zip(*columns, values.to_pylist(), odd):
-            if cutter is None or start != cutter.start or path != cutter.path:
-                rows += cutter.ended(TAIL) if cutter else []
-                cutter = _Cutter(path, start, inside)
-            rows += cutter.take(value, flips)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
-            rows = []
-    rows += cutter.ended(TAIL) if cutter else []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+        if not batch.num_rows:
+            continue
+        odd = pc.count_substring(batch.column("value"), '"').to_numpy(zero_copy_only=False) % 2
+        starts, paths = batch.column("start").to_numpy(), batch.column("path")
+        other = np.diff(starts) != 0
+        if len(other):
+            other |= pc.not_equal(paths.slice(1), paths.slice(0, len(paths) - 1)).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+        for first, last in zip(edges, edges[1:]):
+            path, start = paths[first].as_py(), int(starts[first])
+            if cutter is None or (path, start) != (cutter.path, cutter.start):
+                yield from cutter.ended(TAIL) if cutter else ()
+                cutter = _Cutter(path, start, batch.column("odd")[first].as_py())
+            yield from cutter.take(batch.column("value").slice(first, last - first).to_pylist(), odd[first:last])
+    yield from cutter.ended(TAIL) if cutter else ()
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
