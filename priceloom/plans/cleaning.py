@@ -38,12 +38,12 @@ def scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def raw_csv(spark, folder) -> str:
+def raw_csv(spark, folder, change=None) -> str:
     """The uncleaned listings as CSV files with all columns of the source; returns their folder."""
     raw = raw_listings(spark, folder)
     path = scratch(spark, "csv")
-    raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS]) \
-        .write.option("header", True).option("escape", '"').csv(path)
+    full = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS])
+    (change(full) if change else full).write.option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -53,6 +53,15 @@ def a1_csv_scan(spark, folder):
     return cleaned.select(*raw_listings(spark, folder).columns)
 
 
+@query("a1_csv_ranges", CLEAN_SQL)
+def a1_csv_ranges(spark, folder):
+    """Every record runs over several lines, and records are cut by byte ranges."""
+    path = raw_csv(spark, folder, lambda df: df.withColumn("about_product", F.replace("about_product", F.lit(" "), F.lit("\n"))))
+    read = read_listings_csv(spark, path, ranges=True)
+    read = read.withColumn("about_product", F.replace("about_product", F.lit("\n"), F.lit(" ")))
+    return clean_listings(read).select(*raw_listings(spark, folder).columns)
+
+
 @query("a1_clean_parquet_scan", CLEAN_SQL)
 def a1_clean_parquet_scan(spark, folder):
     path = scratch(spark, "listings")

@@ -3,6 +3,8 @@ import random
 import pytest
 
 import priceloom.operators.joins as joins
+import priceloom.sources.listings as source
+from priceloom.schema import RAW_COLUMNS
 from priceloom.sources.csv_ranges import csv_records, read_csv_ranges
 
 
@@ -69,3 +71,16 @@ def test_one_record_longer_than_many_ranges(spark, tmp_path, small_ranges):
     write(tmp_path / "a.csv", [["key", "text"], ["1", long], ["2", "b"]])
     assert {r.key: r.text for r in read_csv_ranges(spark, str(tmp_path)).collect()} == {"1": long, "2": "b"}
     assert csv_records(spark, str(tmp_path)).where("first").count() == 1
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_listings_on_both_sides_of_the_size(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(source, "RANGE_BYTES", limit)
+    rows = [[f"{c} {i}\nline" for c in RAW_COLUMNS] for i in range(20)]
+    write(tmp_path / "a.csv", [RAW_COLUMNS, *rows])
+    read = source.read_listings_csv(spark, str(tmp_path))
+    assert read.columns == RAW_COLUMNS
+    assert sorted(map(list, read.collect())) == sorted(rows)
+    (tmp_path / "a.csv").write_text("key,text\n1,x\n")
+    with pytest.raises(KeyError):
+        source.read_listings_csv(spark, str(tmp_path))
