@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding, with tree concatenation for long text.
 
-Short texts are encoded in place. A long text becomes rows: it is cut where the tokenizer's own splitting
-cuts it (white space after a letter, or else the tokenizer's pre-tokens), and a stretch that splits
-nowhere is cut in halves down to leaves. Leaves are encoded in parallel. Pieces cut at a proven place are
-simply put together; halves are joined pair by pair up the tree: a window of tokens around the join is
-encoded again and grows until its first token equals the left side's and its last the right side's.
-Adjacent tokens that stand side by side in a valid encoding stay valid, so the result is then exact.
+Short texts are encoded in place. A long text is halved by length, wherever that falls, down to leaves. Leaves
+are rows of their own and encoded in parallel, each as if it were a text. Neighbours are then joined pair by
+pair up the tree: a window around the join, from a pre-token of the left side that the join cannot move, is
+split again and grows until it cuts where the right side cuts. From there on both agree for good, because
+splitting runs from left to right and knows nothing of what it has passed. Only pre-tokens of that window are
+encoded again. In a very long pre-token the window is one of tokens and grows until its first token equals the
+left side's and its last the right side's; tokens that stand side by side in a valid encoding stay valid, so the
+result is exact in either case. Special tokens are found in the whole text beforehand and never halved.
 """
 
 import hashlib
@@ -30,8 +32,10 @@ LONG = 1 << 15
 #: How byte-level tokenizers split text before merging (a fixed value of this family).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_PLAIN, _HALF = 0, 1  # how a leaf follows the one before: at a proven cut, or inside an unsplit stretch
-_CUT = re.compile(r"[0-9A-Za-z.,;:!?](?=[ \n])")
+#: Bytes after a cut between pre-tokens that can decide it: two characters (a contraction, the end of blanks).
+REACH = 8
+#: Bytes from which a pre-token is joined by its tokens instead of encoded again.
+PIECE = 1 << 10
 
 
 def _byte_letters() -> dict[str, int]:
@@ -63,7 +67,10 @@ class Codec:
                 or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])):
             raise ValueError(f"{path} is not a plain byte-level BPE file")
         self.engine = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
-        self.splitter = Tokenizer.from_str(text).pre_tokenizer
+        self.library = Tokenizer.from_str(text)
+        self.letters = {i: t for t, i in vocabulary.items()}
+        self.lengths = np.zeros(max([*vocabulary.values(), *added.values()]) + 1, np.int64)
+        self.lengths[list(self.letters)] = [len(t) for t in self.letters.values()]  # a letter is a byte
         self.specials = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.table = {i: b for b, i in ranks.items()} | {i: t.encode() for t, i in added.items()}
 
@@ -73,77 +80,101 @@ class Codec:
     def decode(self, ids) -> str:
         return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
-    def piece(self, raw: bytes) -> list[int]:
-        """Merge the bytes of one unsplit stretch."""
-        return self.engine._encode_single_piece(raw)
-
     def leaves(self, text: str, size: int = LEAF):
-        """``(stretch, raw)``: equal stretch numbers are leaves of one unsplit stretch, others are cut at proven places."""
-        for number, (part, unsplit) in enumerate(self._parts(text, size)):
-            raw = part.encode()
-            if not unsplit:
-                yield number, _PLAIN, raw
-            else:
-                for at in range(0, len(raw), size):
-                    yield number, _HALF, raw[at:at + size]
-
-    def _parts(self, text, size):
-        """``(part, unsplit)``, cut where the tokenizer is certain to cut; an unsplit part is one pre-token."""
+        """``(stretch, part)``: a special token, or what lies between two, halved by length down to ``size`` characters."""
         at = 0
-        for special in [*self.specials.finditer(text), None]:
+        for number, special in enumerate([*self.specials.finditer(text), None]):
             stop = special.start() if special else len(text)
-            while at < stop:
-                found = _CUT.search(text, min(stop, at + size), min(stop, at + 2 * size))
-                end = found.end() if found else stop
-                if found or end - at <= 2 * size:
-                    yield text[at:end], False
-                else:
-                    found = _CUT.search(text, min(stop, at + 2 * size), stop)
-                    end = found.end() if found else stop
-                    yield from self._pretokens(text[at:end], size)
-                at = end
+            yield from ((2 * number, text[a:b]) for a, b in _halves(at, stop, size))
             if special:
-                yield special.group(), False
+                yield 2 * number + 1, special.group()
                 at = special.end()
 
-    def _pretokens(self, text, size):
-        """Groups of pre-tokens. White space at the end of a group would be split differently without what
-        follows, so a group ends after another character, or else its last pre-tokens stand alone.
+    def leaf(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text, and which of them begin a pre-token."""
+        found = self.library.encode(text, add_special_tokens=False)
+        word = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
+        return np.array(found.ids, np.int64), np.r_[True, word[1:] != word[:-1]][:len(word)]
+
+    def piece(self, letters: str) -> list[int]:
+        """Merge one pre-token, given as letters that stand for its bytes."""
+        return [t.id for t in self.library.model.tokenize(letters)]
+
+    def spell(self, ids) -> str:
+        return "".join(map(self.letters.__getitem__, ids.tolist()))
+
+    def join(self, left, right):
+        """One encoding from those of two neighbours."""
+        (a, starts_a), (b, starts_b) = left, right
+        end_a, end_b = np.cumsum(self.lengths[a]), np.cumsum(self.lengths[b])
+        begin_a, begin_b = end_a - self.lengths[a], end_b - self.lengths[b]
+        certain = np.flatnonzero(starts_a & (begin_a <= end_a[-1] - REACH))
+        first = int(certain[-1]) if len(certain) else 0
+        head = self.spell(a[first:])
+        cuts_b = np.append(np.flatnonzero(starts_b), len(b))
+        places_b = np.append(begin_b, end_b[-1])[cuts_b] + len(head)
+        count = 4
+        while True:
+            stop = int(cuts_b[min(count, len(cuts_b) - 1)])
+            window = head + self.spell(b[:stop])
+            raw = b"".join(map(self.table.__getitem__, [*a[first:].tolist(), *b[:stop].tolist()]))
+            pieces = [letters for letters, _ in self.library.pre_tokenizer.pre_tokenize_str(raw.decode())]
+            cuts = np.cumsum([len(p) for p in pieces])
+            last = len(window) - (0 if stop == len(b) else REACH)
+            agreed = np.flatnonzero((cuts >= len(head)) & (cuts <= last) & np.isin(cuts, places_b))
+            if len(agreed):
+                break
+            count *= 2
+        # Where the tokens and cuts of both sides lie in the window.
+        place_a = begin_a[first:] - begin_a[first]
+        sides = ((a[first:], place_a, place_a[starts_a[first:]]), (b, begin_b + len(head), places_b))
+        ids, starts, at = [a[:first]], [starts_a[:first]], 0
+        for letters in pieces[:agreed[0] + 1]:
+            own = self._long_piece(letters, at, len(head), *sides) if len(letters) > PIECE else self.piece(letters)
+            ids.append(np.asarray(own, np.int64))
+            starts.append(np.arange(len(own)) == 0)
+            at += len(letters)
+        rest = int(np.searchsorted(begin_b + len(head), at))
+        return np.concatenate([*ids, b[rest:]]), np.concatenate([*starts, starts_b[rest:]])
+
+    def _long_piece(self, letters, begin, border, left, right):
+        """Tokens of a pre-token over the border: those of the left one that begins and of the right one that ends
+        with it are kept, but for a window between them.
         """
-        begin, safe, loose = 0, 0, []
-        for _, (a, b) in self.splitter.pre_tokenize_str(text):
-            if b - a > 2 * size or (b - begin > 2 * size and safe > begin):
-                if safe > begin:
-                    yield text[begin:safe], False
-                    begin = safe
-                if b - a > 2 * size:
-                    yield from ((text[c:d], True) for c, d in loose)
-                    yield text[a:b], True
-                    begin, safe, loose = b, b, []
-                    continue
-            loose.append((a, b))
-            if not text[b - 1].isspace():
-                safe, loose = b, []
-        if begin < len(text):
-            yield text[begin:], False
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """One encoding from those of two neighbours inside an unsplit stretch."""
+        end = begin + len(letters)
+        (a, place_a, cuts_a), (b, place_b, cuts_b) = left, right
+        keep_a, keep_b = a[:0], b[:0]
+        if begin in cuts_a:
+            after = cuts_a[cuts_a > begin]
+            stop = min(end, border, int(after[0]) if len(after) else border)
+            keep_a = a[(place_a >= begin) & (place_a + self.lengths[a] <= stop)]
+        if end > border and end in cuts_b:
+            before = cuts_b[cuts_b < end]
+            start = max(begin, int(before[-1]) if len(before) else border)
+            keep_b = b[(place_b >= start) & (place_b < end)]
+        middle = letters[int(self.lengths[keep_a].sum()):len(letters) - int(self.lengths[keep_b].sum())]
         k = 4
         while True:
-            a, b = left[-k:], right[:k]
-            middle = self.piece(b"".join(map(self.table.__getitem__, a + b)))
-            agree_left = len(left) <= k or middle[0] == a[0]
-            agree_right = len(right) <= k or middle[-1] == b[-1]
-            if agree_left and agree_right:
-                return left[:-k] + middle + right[k:]
+            x, y = keep_a[-k:], keep_b[:k]
+            found = self.piece(self.spell(x) + middle + self.spell(y))
+            if ((len(keep_a) <= k or found[0] == x[0]) and (len(keep_b) <= k or found[-1] == y[-1])):
+                return np.concatenate([keep_a[:-k], np.asarray(found, np.int64), keep_b[k:]])
             k *= 2
 
-    def tree(self, leaves: list[list[int]]) -> list[int]:
-        while len(leaves) > 1:
-            leaves = [self.join(*leaves[i:i + 2]) if i + 1 < len(leaves) else leaves[i]
-                      for i in range(0, len(leaves), 2)]
-        return leaves[0]
+    def tree(self, nodes: list) -> np.ndarray:
+        """Join neighbours, then neighbours of the results, until one encoding is left."""
+        while len(nodes) > 1:
+            nodes = [self.join(*nodes[i:i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+        return nodes[0][0]
+
+
+def _halves(begin: int, end: int, size: int):
+    if end - begin > size:
+        middle = (begin + end) // 2
+        yield from _halves(begin, middle, size)
+        yield from _halves(middle, end, size)
+    elif end > begin:
+        yield begin, end
 
 
 @lru_cache(maxsize=4)
@@ -183,9 +214,8 @@ def _cut(path):
             for key, text in zip(batch.column("key"), batch.column("text")):
                 found = [(key.as_py(), i, *leaf) for i, leaf in enumerate(tool.leaves(text.as_py()))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*found), (pa.binary(), pa.int64(), pa.int64(), pa.int32(),
-                                                                  pa.binary()))],
-                    ["key", "leaf", "stretch", "kind", "raw"])
+                    [pa.array(c, t) for c, t in zip(zip(*found), (pa.binary(), pa.int64(), pa.int64(), pa.string()))],
+                    ["key", "leaf", "stretch", "part"])
 
     return rows
 
@@ -194,10 +224,12 @@ def _encoded(path):
     def rows(batches):
         tool = codec(path)
         for batch in batches:
-            ids = [np.asarray(tool.piece(raw.as_py()) if kind.as_py() == _HALF else tool.encode(raw.as_py().decode()),
-                              "<u4").tobytes() for kind, raw in zip(batch.column("kind"), batch.column("raw"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("key", "leaf", "stretch", "kind")),
-                                              pa.array(ids, pa.binary())], ["key", "leaf", "stretch", "kind", "ids"])
+            found = [tool.leaf(part.as_py()) for part in batch.column("part")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in ("key", "leaf", "stretch")),
+                 pa.array([ids.astype("<u4").tobytes() for ids, _ in found], pa.binary()),
+                 pa.array([starts.tobytes() for _, starts in found], pa.binary())],
+                ["key", "leaf", "stretch", "ids", "starts"])
 
     return rows
 
@@ -208,11 +240,8 @@ def _joined(path, with_ids):
         for batch in batches:
             for key, leaves in zip(batch.column("key"), batch.column("leaves")):
                 order = sorted(leaves.as_py(), key=lambda x: x["leaf"])
-                parts = []
-                for _, group in groupby(order, key=lambda x: x["stretch"]):
-                    arrays = [np.frombuffer(x["ids"], "<u4") for x in group]
-                    parts.append(arrays[0] if len(arrays) == 1 else
-                                 np.asarray(tool.tree([a.tolist() for a in arrays]), "<u4"))
+                parts = [tool.tree([(np.frombuffer(x["ids"], "<u4").astype(np.int64), np.frombuffer(x["starts"], bool))
+                                    for x in group]) for _, group in groupby(order, key=lambda x: x["stretch"])]
                 out = _summary(tool, np.concatenate(parts), with_ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key.as_py()], pa.binary()), *(pa.array([c], t) for c, t in zip(out, _TYPES))],
@@ -236,10 +265,10 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", with_ids: bool =
     short = packed.where(F.length("text") < LONG).mapInArrow(_whole(path, with_ids), f"row {row_type}, {_SCHEMA}")
     long = packed.where(F.length("text") >= LONG).select("row", text_key(F.col("text")).alias("key"), "text")
     texts = long.groupBy("key").agg(F.first("text").alias("text"))
-    leaves = texts.mapInArrow(_cut(path), "key binary, leaf long, stretch long, kind int, raw binary")
+    leaves = texts.mapInArrow(_cut(path), "key binary, leaf long, stretch long, part string")
     encoded = leaves.repartition("key", "leaf").mapInArrow(
-        _encoded(path), "key binary, leaf long, stretch long, kind int, ids binary")
-    joined = checkpointed(encoded.groupBy("key").agg(F.collect_list(F.struct("leaf", "stretch", "kind", "ids"))
+        _encoded(path), "key binary, leaf long, stretch long, ids binary, starts binary")
+    joined = checkpointed(encoded.groupBy("key").agg(F.collect_list(F.struct("leaf", "stretch", "ids", "starts"))
                                                      .alias("leaves"))
                           .mapInArrow(_joined(path, with_ids), f"key binary, {_SCHEMA}"))
     long = long.select("row", "key").join(joined, "key").select("row", *_NAMES)

@@ -17,12 +17,10 @@ def library():
 
 
 def in_leaves(tool, text, size):
-    """Encode by leaves of a small size, without Spark."""
+    """Encode by halves down to a small size, without Spark."""
     ids = []
     for _, group in bpe.groupby(tool.leaves(text, size), key=lambda x: x[0]):
-        group = list(group)
-        ids += tool.tree([tool.piece(raw) if kind == bpe._HALF else tool.encode(raw.decode()).tolist()
-                          for _, kind, raw in group])
+        ids += tool.tree([tool.leaf(part) for _, part in group]).tolist()
     return ids
 
 
@@ -36,11 +34,13 @@ def texts():
     for alphabet in ("a", "ab", "abcdehnorst", "0123456789", "!?-", " ", "\n ", "é你", "anti"):
         out.append("".join(rng.choices(alphabet, k=700)))
         out.append("x " + "".join(rng.choices(alphabet, k=300)) + " y." + "".join(rng.choices(alphabet, k=90)))
-    return out
+    return out + ["it's we'll " * 30, "!'s'" * 40 + "x" * 200, "a" + " " * 150 + "b" + "\n" * 150 + "c", "x'" * 90 + "ll" * 90]
 
 
-@pytest.mark.parametrize("size", [3, 8, 40])
-def test_leaves_equal_the_library(library, size):
+@pytest.mark.parametrize("piece", [4, bpe.PIECE])
+@pytest.mark.parametrize("size", [1, 3, 8, 40])
+def test_leaves_equal_the_library(library, size, piece, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE", piece)
     tool = bpe.codec(PATH)
     for text in texts():
         assert in_leaves(tool, text, size) == library.encode(text, add_special_tokens=False).ids, text[:80]
@@ -48,7 +48,19 @@ def test_leaves_equal_the_library(library, size):
 
 def test_every_token_encodes_to_itself():
     tool = bpe.codec(PATH)
-    assert all(tool.piece(raw) == [i] for i, raw in tool.table.items() if i != 50256)
+    assert all(tool.piece(letters) == [i] for i, letters in tool.letters.items())
+
+
+def test_long_texts_are_halved_and_joined(library, monkeypatch):
+    tool = bpe.codec(PATH)
+    count, windows = [0], []
+    join, piece = tool.join, tool.piece
+    monkeypatch.setattr(tool, "join", lambda a, b: (count.__setitem__(0, count[0] + 1), join(a, b))[1])
+    monkeypatch.setattr(tool, "piece", lambda letters: (windows.append(len(letters)), piece(letters))[1])
+    text = "The cat's toys, 12 of them, aren't here.\n" * 2_000 + "abcde" * 20_000
+    assert in_leaves(tool, text, bpe.LEAF) == library.encode(text, add_special_tokens=False).ids
+    assert count[0] == len(list(tool.leaves(text))) - 1 > 20
+    assert max(windows) <= bpe.PIECE  # no window grew to a whole leaf
 
 
 def digests(library, text):
