@@ -7,12 +7,14 @@ vectors never exceeds the Hamming distance of their fingerprints: it is a lower
 The range join looks for vectors within ``radius`` under Manhattan distance. The segments are dealt
 into ``radius + shared`` groups; a distance of at most ``radius`` leaves at least ``shared`` groups
 without any difference, so both vectors fall into the same cell of one of the grids that such
-combinations of groups span. Fingerprints of a cell meet in one task, are ruled out by the
+combinations of groups span. More shared groups give more grids of smaller cells; their number follows
+from the count of fingerprints, and every choice finds the same links. Fingerprints of a cell meet in one task, are ruled out by the
 Manhattan distance, then verified exactly. A cell of many fingerprints is cut into tiles, and pairs
 of tiles into tasks. A task emits a star per component of the links it found, never the pairs.
 """
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,10 @@ from priceloom.session import checkpointed
 RADIUS = 4
 SHINGLE_WORDS = 4
 SEED = 42
-#: Groups that must agree in a cell. More give smaller cells and more grids.
-SHARED = 3
+#: Groups that must agree in a cell: the range that ``shared_groups`` chooses from.
+SHARED = range(3, 9)
+#: Comparisons in a cell that cost as much as one row of a grid.
+COMPARISONS = 200
 #: Fingerprints in a tile of a large cell.
 TILE = 1024
 
@@ -89,6 +93,18 @@ def _masks(radius: int, shared: int) -> list[int]:
     return [_signed(sum(chosen)) for chosen in combinations(groups, shared)]
 
 
+def shared_groups(count: int, radius: int) -> int:
+    """The number of agreeing groups that costs least for ``count`` random fingerprints.
+
+    Each is a row in every grid and is compared with the others of its cell. Two random segments have equally
+    many bits set in 3 of 8 cases.
+    """
+    def cost(shared):
+        return comb(radius + shared, shared) * (COMPARISONS + count * 0.375 ** (_SEGMENTS * shared / (radius + shared)))
+
+    return min(SHARED, key=cost)
+
+
 def manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distance of packed embeddings. Counts are 0, 1 or 2, so a difference of two shows as binary 10."""
     even = np.uint64(_EVEN)
@@ -143,8 +159,15 @@ def _linked(radius):
     return rows
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, shared: int = SHARED, tile: int = TILE) -> DataFrame:
-    """Links ``(a, b)`` whose components are those of all fingerprints ``fp`` within ``radius`` bits."""
+def links(distinct: DataFrame, radius: int = RADIUS, shared: int | None = None, tile: int = TILE) -> DataFrame:
+    """Links ``(a, b)`` whose components are those of all fingerprints ``fp`` within ``radius`` bits.
+
+    ``shared`` is chosen by the number of fingerprints if it is not given.
+    """
+    # A fingerprint is few bytes but becomes a row in every grid, so they are dealt to all tasks beforehand.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = checkpointed(distinct.select("fp").repartition(tasks, "fp"))
+    shared = shared or shared_groups(distinct.count(), radius)
     grids = F.array(*[F.struct(F.lit(i).alias("grid"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell"))
                       for i, m in enumerate(_masks(radius, shared))])
     cells = distinct.select("fp", embedding(F.col("fp")).alias("counts")).select("fp", F.inline(grids))
@@ -180,8 +203,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
 def without_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of each component: the one with the smallest ``doc_id``, then the smallest text hash.
 
-    Rows that agree in both are one document and stay once. A row without an id stays only if no other
-    row of its component has one.
+    Rows that agree in both are one document and stay once: the one whose columns, written as JSON, have the
+    smallest hash. A row without an id stays only if no other row of its component has one.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
                      F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
@@ -196,4 +219,5 @@ def without_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius:
     kept = checkpointed(kept.select(F.xxhash64("place").alias("place_hash"), "place"))
     rows = named.withColumn("place_hash", F.xxhash64("place")).join(
         kept.withColumnRenamed("place", "kept_place"), "place_hash").where("place <=> kept_place")
-    return rows.groupBy("place_hash").agg(F.first("row").alias("row")).select("row.*")
+    one = F.min_by("row", F.xxhash64(F.to_json("row")))
+    return rows.groupBy("place_hash", "place").agg(one.alias("row")).select("row.*")

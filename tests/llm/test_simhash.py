@@ -37,8 +37,8 @@ def test_against_brute_force(spark):
     assert len(set(groups)) < len(groups)
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
-def test_random_fingerprints(spark, tile):
+@pytest.mark.parametrize("tile, shared", [(4, None), (1024, None), (1024, 5)])
+def test_random_fingerprints(spark, tile, shared):
     rng = random.Random(11)
     prints = []
     for _ in range(40):
@@ -50,7 +50,7 @@ def test_random_fingerprints(spark, tile):
             prints.append(value)
     distinct = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in distinct]
-    linked = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), tile=tile)
+    linked = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), tile=tile, shared=shared)
     roots = {r.node: r.root for r in components.connected_components(linked).collect()}
     groups = brute.components(distinct, 4)
     by_group = {}
@@ -83,6 +83,21 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or 0, r.row) for r in kept) == [(0, 4), (0, 5), (3, 3), (5, 2)]
 
 
+def test_rows_equal_in_id_and_text_leave_the_same_one(spark):
+    rows = [(1, "some words in this text", i) for i in range(40)]
+    kept = {simhash.without_near_duplicates(spark.createDataFrame(order, "doc_id long, text string, n int")).collect()[0].n
+            for order in (rows, rows[::-1], rows[20:] + rows[:20])}
+    assert len(kept) == 1
+
+
+def test_more_fingerprints_give_smaller_cells():
+    chosen = [simhash.shared_groups(10 ** n, simhash.RADIUS) for n in range(13)]
+    assert chosen == sorted(chosen) and chosen[0] == 3 and chosen[9] > 3
+    for shared in simhash.SHARED:
+        masks = simhash._masks(simhash.RADIUS, shared)
+        assert len(masks) == simhash.comb(simhash.RADIUS + shared, shared)
+
+
 def test_chain_of_links(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(50)] + [(100, 100), (None, 3), (70, 60)], "a long, b long")
     found = {r.node: r.root for r in components.connected_components(links).collect()}
