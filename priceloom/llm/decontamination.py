@@ -8,8 +8,8 @@ Candidates are verified by the weighted (multiset) similarity of their shingles.
 Similarity ``s`` of two windows of ``m`` shingles means ``2 m s / (1 + s)`` shared ones, so a window that holds
 fewer shingles of the benchmark cannot reach it and gets no fingerprint; nothing is lost by that.
 
-A text with fewer words than an item is one window as a whole. It is compared without fingerprints: items
-that hold one of its rarest shingles, so many that a similar item cannot lack them all, are verified.
+A text with fewer words than an item is one window as a whole: its fingerprint goes through the multi-index of
+the items of up to ``1 / similarity`` times as many shingles.
 """
 
 from collections import Counter
@@ -66,18 +66,12 @@ class Index:
         lengths: dict[int, list] = {}
         texts = pa.array([text for _, text in items], pa.string())
         hashes, first = _word_hashes(texts) if len(items) else (np.zeros(0, _U), np.zeros(1, np.int64))
-        #: By shingle size and shingle, the items it stands in: ``(number of shingles, place in members)``.
-        self.holders: dict[int, dict] = {}
         for i, (item_id, _) in enumerate(items):
             own = hashes[first[i]:first[i + 1]]
             if len(own):
                 k = min(size, len(own))
                 shingles = _shingles(own, k)
-                members = lengths.setdefault(len(own), [])
-                members.append((item_id, Counter(shingles.tolist()), shingles))
-                for shingle in members[-1][1]:
-                    self.holders.setdefault(k, {}).setdefault(shingle, []).append((len(shingles), len(members) - 1))
-        self.members = {(min(size, n), n - min(size, n) + 1): v for n, v in lengths.items()}
+                lengths.setdefault(len(own), []).append((item_id, Counter(shingles.tolist()), shingles))
         self.classes = []
         for n, members in sorted(lengths.items()):
             prints = np.concatenate([simhash(s[None, :]) for _, _, s in members])
@@ -129,25 +123,34 @@ class Index:
 
     def _verify_short(self, shingles, total, k, first, best):
         """Texts with fewer words than an item, each as a whole against the longer items of similar length."""
-        held = self.holders[k]
         size = np.maximum(0, np.diff(first) - k + 1)
         begin = np.minimum(first[:-1], len(shingles))
         # An item holds more shingles than the text, so at least 2 m s / (1 + s) of the text's m are shared.
         need = 2 * size * self.similarity / (1 + self.similarity) - 1e-9
         for row in np.flatnonzero((size > 0) & (total[np.minimum(begin + size, len(shingles))] - total[begin] >= need)):
             m = int(size[row])
-            own = shingles[begin[row]:begin[row] + m].tolist()
-            spare = m - int(np.ceil(need[row]))
-            own.sort(key=lambda x: len(held.get(x, ())))
-            counts = Counter(own)
-            near = {place for x in set(own[:spare + 1]) for place in held.get(x, ())
-                    if place[0] > m >= place[0] * self.similarity - 1e-9}
-            for longer, i in near:
-                item_id, shingled, _ = self.members[k, longer][i]
-                shared = sum((counts & shingled).values())
-                similarity = shared / (m + longer - shared)
-                if similarity >= self.similarity and similarity > best.get((int(row), item_id), (0.0, 0))[0]:
-                    best[int(row), item_id] = similarity, int(first[row])
+            window = shingles[begin[row]:begin[row] + m]
+            print_, counts = simhash(window[None, :]), Counter(window.tolist())
+            for n, members, prints, near, _ in self.classes:
+                longer = n - k + 1
+                if min(self.size, n) != k or not m < longer <= m / self.similarity + 1e-9:
+                    continue
+                for _, i in self._candidates(print_, prints, near):
+                    shared = sum((counts & members[i][1]).values())
+                    similarity = shared / (m + longer - shared)
+                    if similarity >= self.similarity and similarity > best.get((int(row), members[i][0]), (0.0, 0))[0]:
+                        best[int(row), members[i][0]] = similarity, int(first[row])
+
+    @staticmethod
+    def _candidates(found, prints, near):
+        """``(window, item)`` of all fingerprints within ``RADIUS``: those that agree in a block, then counted exactly."""
+        blocks = found.view(np.uint8).reshape(-1, 8)
+        candidate = np.zeros((len(found), len(prints)), bool)
+        for b in range(8):
+            candidate |= near[b][blocks[:, b]]
+        w, i = np.nonzero(candidate)
+        within = np.bitwise_count(found[w] ^ prints[i]) <= RADIUS
+        return zip(w[within].tolist(), i[within].tolist())
 
     @staticmethod
     def _starts(marked, m, last):
@@ -159,14 +162,7 @@ class Index:
 
     def _verify(self, start, shingles, m, members, prints, near, first, best):
         windows = shingles[start[:, None] + np.arange(m)]
-        found = simhash(windows)
-        blocks = found.view(np.uint8).reshape(-1, 8)
-        candidate = np.zeros((len(start), len(members)), bool)
-        for b in range(8):
-            candidate |= near[b][blocks[:, b]]
-        for w, i in np.argwhere(candidate).tolist():
-            if int(found[w] ^ prints[i]).bit_count() > RADIUS:
-                continue
+        for w, i in self._candidates(simhash(windows), prints, near):
             shared = sum((Counter(windows[w].tolist()) & members[i][1]).values())
             similarity = shared / (2 * m - shared)
             if similarity >= self.similarity:

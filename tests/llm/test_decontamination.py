@@ -87,6 +87,20 @@ def test_empty(spark):
     assert d.Index([]).matches(pa.array(["a"])) == []
 
 
+def test_recall_of_the_radius():
+    """Windows altered at random to a similarity of 0.8 to 1 stay within the radius of their item."""
+    rng = np.random.default_rng(5)
+    distances = []
+    for _ in range(20_000):
+        m = int(rng.integers(11, 56))  # shingles of the benchmark's items
+        item = rng.integers(0, 2**64, m, dtype=np.uint64)
+        spare = int(m - np.ceil(2 * m * d.SIMILARITY / (1 + d.SIMILARITY)))
+        window = item.copy()
+        window[rng.choice(m, spare, replace=False)] = rng.integers(0, 2**64, spare, dtype=np.uint64)
+        distances.append(int(np.bitwise_count(d.simhash(item[None])[0] ^ d.simhash(window[None])[0])))
+    assert np.mean(np.array(distances) <= d.RADIUS) >= 0.999
+
+
 def brute_with_short(texts, items):
     """As ``brute``, and a text shorter than the item is one window as a whole."""
     out = brute(texts, items)
