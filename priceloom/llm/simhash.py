@@ -21,9 +21,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from priceloom.llm.arrays import slices
 from priceloom.llm.components import connected_components, contract
+from priceloom.llm.workspace import text_batches
 from priceloom.session import checkpointed
 
 RADIUS = 4
@@ -190,7 +192,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     other. Rows that repeat a ``doc_id`` are rows of their own. Null ids are passed over when the
     smallest is sought (the component id is null if there is no other). An empty table gives no rows.
     """
-    marked = checkpointed(fingerprints(docs, words))
+    with text_batches(docs.sparkSession):
+        marked = checkpointed(fingerprints(docs, words))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     roots = connected_components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     grouped = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -200,24 +203,36 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
                                              "component_id")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns that tells nulls apart. Nested values are hashed as JSON, which keeps theirs."""
+    parts = []
+    for field in docs.schema:
+        value = F.col(f"`{field.name}`")
+        nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+        parts += [value.isNull(), F.to_json(F.struct(value)) if nested else value]
+    return F.xxhash64(*parts)
+
+
 def without_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of each component: the one with the smallest ``doc_id``, then the smallest text hash.
 
-    Rows that agree in both are one document and stay once: the one whose columns, written as JSON, have the
-    smallest hash. A row without an id stays only if no other row of its component has one.
+    Rows that agree in both are one document and stay once: the one whose columns have the smallest hash. A row
+    without an id stays only if no other row of its component has one.
     """
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"),
-                     F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+                     F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _row_hash(docs).alias("row_hash"))
     columns = docs.columns
     named = docs.select(place.alias("place"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    marked = checkpointed(fingerprints(named.select(F.col("place").alias("doc_id"), F.col("row.text").alias("text")),
-                                       words))
+    with text_batches(docs.sparkSession):
+        marked = checkpointed(fingerprints(named.select(F.col("place").alias("doc_id"),
+                                                        F.col("row.text").alias("text")), words))
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("place"))
     roots = connected_components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     kept = (distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
             .agg(F.min("place").alias("place")))
-    kept = checkpointed(kept.select(F.xxhash64("place").alias("place_hash"), "place"))
-    rows = named.withColumn("place_hash", F.xxhash64("place")).join(
-        kept.withColumnRenamed("place", "kept_place"), "place_hash").where("place <=> kept_place")
-    one = F.min_by("row", F.xxhash64(F.to_json("row")))
-    return rows.groupBy("place_hash", "place").agg(one.alias("row")).select("row.*")
+    keys = [F.xxhash64("place").alias("place_hash"), F.col("place.row_hash").alias("row_hash")]
+    kept = checkpointed(kept.select(*keys, F.col("place").alias("kept_place")))
+    # What is left of a place are equal rows. They are grouped by the keys of the join, so that whole texts
+    # are shuffled and sorted once.
+    rows = named.select(*keys, "place", "row").join(kept, ["place_hash", "row_hash"]).where("place <=> kept_place")
+    return rows.groupBy("place_hash", "row_hash").agg(F.first("row").alias("row")).select("row.*")

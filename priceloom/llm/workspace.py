@@ -8,17 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from priceloom.session import ensure_checkpoint_dir
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Most rows of an Arrow batch that holds whole texts.
+TEXT_BATCH = 1000
 
 
 @contextmanager
-def _shuffles_end_with_the_query(spark: SparkSession):
-    """Shuffle files of the queries that run here are removed when the query that wrote them ends."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        spark.conf.set(key, before)
+
+
+def _shuffles_end_with_the_query(spark: SparkSession):
+    """Shuffle files of the queries that run here are removed when the query that wrote them ends."""
+    return _setting(spark, _CLEANUP, "true")
+
+
+def text_batches(spark: SparkSession):
+    """Queries that run here hand texts to Python in small batches, which bounds the memory of both sides."""
+    now = int(spark.conf.get(_BATCH))
+    return _setting(spark, _BATCH, str(min(now, TEXT_BATCH) if now > 0 else TEXT_BATCH))
 
 
 class Shelf:
