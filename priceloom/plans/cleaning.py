@@ -25,8 +25,8 @@ from priceloom.schema import (
 )
 from priceloom.session import ensure_checkpoint_dir
 from priceloom.sources.listings import read_listings, read_listings_csv, write_listings
-from priceloom.sources.models import load_model, save_model
-from priceloom.sources.stats import display_stats, read_stats, write_stats
+from priceloom.sources.models import load_model, load_published, publish_model, save_model
+from priceloom.sources.stats import add_batch, display_stats, merged_stats, read_stats, write_stats
 from priceloom.sources.vectors import read_vectors, write_vectors
 from priceloom.streaming.scoring import within_bounds
 
@@ -90,8 +90,35 @@ def a3_training_stats_source(spark, folder):
     return rounded(display_stats(read_stats(spark, path)))
 
 
-@query("a4_a5_model_round_trip", with_listings(
-    "select count(*) as scored, cast(0 as double) as largest_gap from listings"))
+@query("a2_a3_merged_stats", with_listings(_STATS_ROWS))
+def a2_a3_merged_stats(spark, folder):
+    """Statistics merged from three batches, one of which comes twice."""
+    path = scratch(spark, "state")
+    part = F.pmod(F.col("rating_count").cast("bigint"), F.lit(3))
+    for batch in (0, 1, 2, 1):
+        add_batch(listings(spark, folder).where(part == batch), DISCOUNT_FEATURES, path, batch)
+    return rounded(merged_stats(spark, path))
+
+
+_SAME_SCORES = with_listings("select count(*) as scored, cast(0 as double) as largest_gap from listings")
+
+
+@query("a4_a5_published_model", _SAME_SCORES)
+def a4_a5_published_model(spark, folder):
+    """The model published last answers, not the one before it."""
+    data = listings(spark, folder)
+    path = scratch(spark, "models")
+    part = data.where(F.pmod(F.col("rating_count").cast("bigint"), F.lit(2)) == 0)
+    publish_model(spark, fit_model(part, "Linear Regression", PRICE_FEATURES, PRICE_TARGET), path, "line")
+    model = fit_model(data, "Linear Regression", PRICE_FEATURES, PRICE_TARGET)
+    publish_model(spark, model, path, "line")
+    first = score(model, data).withColumnRenamed("prediction", "first")
+    both = score(load_published(spark, path, "line")[0], first)
+    gap = F.max(F.abs(F.col("first") - F.col("prediction")))
+    return both.agg(F.count("*").alias("scored"), r(gap).alias("largest_gap"))
+
+
+@query("a4_a5_model_round_trip", _SAME_SCORES)
 def a4_a5_model_round_trip(spark, folder):
     data = listings(spark, folder)
     model = fit_model(data, "Linear Regression", PRICE_FEATURES, PRICE_TARGET)

@@ -15,8 +15,17 @@ from priceloom.plans.listing import listings, table, with_listings
 from priceloom.plans.registry import q, query, rounded, shown
 from priceloom.plans.workflows import question_prompts
 from priceloom.schema import DISCOUNT_FEATURES, DISCOUNT_TARGET, PRICE_FEATURES, PRICE_TARGET
+from priceloom.sources.models import publish_model
+from priceloom.sources.stats import add_batch
 from priceloom.sources.vectors import read_vectors, write_vectors
-from priceloom.streaming.scoring import discount_answers, price_answers, read_requests, score_stream, scored_with_drift
+from priceloom.streaming.scoring import (
+    discount_answers,
+    price_answers,
+    read_requests,
+    score_published,
+    score_stream,
+    scored_with_drift,
+)
 
 # ── Drift: statistics and models from all listings, checked on requests with planted outliers ─
 
@@ -29,11 +38,14 @@ def _stats(spark, folder):
     return training_stats(listings(spark, folder), DISCOUNT_FEATURES)
 
 
-_Z_CTE = (_REQUESTS_SQL + ", z as materialized (select product_id, " + ", ".join(
-    f"{c}, case when s_{c} > 0 then abs(({c} - m_{c}) / s_{c}) else 0 end as z_{c}" for c in DISCOUNT_FEATURES)
-    + " from requests, (select " + ", ".join(
-        f"avg({c}) as m_{c}, stddev_samp({c}) as s_{c}" for c in DISCOUNT_FEATURES)
-    + " from listings))")
+def _z_cte(name, source):
+    """Requests with their z-scores by the statistics of ``source``."""
+    z = ", ".join(f"{c}, case when s_{c} > 0 then abs(({c} - m_{c}) / s_{c}) else 0 end as z_{c}" for c in DISCOUNT_FEATURES)
+    stats = ", ".join(f"avg({c}) as m_{c}, stddev_samp({c}) as s_{c}" for c in DISCOUNT_FEATURES)
+    return f"{name} as materialized (select product_id, {z} from requests, (select {stats} from {source}))"
+
+
+_Z_CTE = _REQUESTS_SQL + ", " + _z_cte("z", "listings")
 _ANY = " or ".join(f"z_{c} > 3" for c in DISCOUNT_FEATURES)
 
 
@@ -53,9 +65,9 @@ def f2_drift_flag(spark, folder):
 _LINE = (moments_cte("train_m", "listings", DISCOUNT_FEATURES, DISCOUNT_TARGET) + ",\n"
          + solve_ctes("line", "train_m", list(range(len(DISCOUNT_FEATURES)))) + ",\n" + _Z_CTE)
 _PREDICTION = " + ".join(f"w{i} * {c}" for i, c in enumerate(DISCOUNT_FEATURES)) + " + w"
-_SCORED_SQL = with_listings(
-    f"select product_id, {shown(_PREDICTION, 2)} as predicted_discount_percentage, ({_ANY}) as drift_warning, "
-    + ", ".join(f"{shown(f'z_{c}', 3)} as z_{c}, {c}" for c in DISCOUNT_FEATURES) + " from z, line", _LINE)
+_ANSWERED = (f"select product_id, {shown(_PREDICTION, 2)} as predicted_discount_percentage, ({_ANY}) as drift_warning, "
+             + ", ".join(f"{shown(f'z_{c}', 3)} as z_{c}, {c}" for c in DISCOUNT_FEATURES))
+_SCORED_SQL = with_listings(f"{_ANSWERED} from z, line", _LINE)
 
 
 def _flat(scored):
@@ -134,6 +146,30 @@ def s1_stream_scoring(spark, folder):
     return _flat(spark.read.parquet(out))
 
 
+_EVEN = "cast(rating_count as bigint) % 2 = 0"
+_REFRESHED = ",\n".join([_REQUESTS_SQL, f"early as (select * from listings where {_EVEN})"] + [
+    part for name, source in (("first", "early"), ("second", "listings")) for part in (
+        moments_cte(f"m_{name}", source, DISCOUNT_FEATURES, DISCOUNT_TARGET),
+        solve_ctes(f"line_{name}", f"m_{name}", list(range(len(DISCOUNT_FEATURES)))),
+        _z_cte(f"z_{name}", source))])
+
+
+@query("s1_refreshed_scoring", with_listings(
+    f"{_ANSWERED} from z_first, line_first where {_EVEN} union all "
+    f"{_ANSWERED} from z_second, line_second where not {_EVEN}", _REFRESHED))
+def s1_refreshed_scoring(spark, folder):
+    """A model and statistics that are replaced between two batches: each is scored with what was current."""
+    rows, requests = listings(spark, folder), _requests(spark, folder)
+    models, stats, inbox, out = (scratch(spark, name) for name in ("models", "state", "requests", "scored"))
+    for name, arrived, known in (("first", _EVEN, rows.where(_EVEN)), ("second", f"not {_EVEN}", rows)):
+        publish_model(spark, fit_model(known, "Linear Regression", DISCOUNT_FEATURES, DISCOUNT_TARGET), models, "line")
+        add_batch(rows.where(arrived), DISCOUNT_FEATURES, stats, name)
+        requests.where(arrived).write.mode("append").parquet(inbox)
+        stream = read_requests(spark, inbox, requests.schema)
+        score_published(stream, models, "line", stats, out, available_now=True).awaitTermination()
+    return _flat(spark.read.parquet(out))
+
+
 # ── Retrieval: every vector asks for its neighbours among all vectors ───────
 
 _RANKED = """ranked as (

@@ -1,6 +1,9 @@
 """Fitted models in folders."""
 
 from pyspark.ml import PipelineModel
+from pyspark.sql import SparkSession
+
+from priceloom.sources.versions import current_version, publish
 
 
 def save_model(model: PipelineModel, folder: str, name: str) -> str:
@@ -20,3 +23,14 @@ def load_model(folder: str, name: str) -> PipelineModel:
         if "PATH_NOT_FOUND" in text or "does not exist" in text or "Path does not exist" in text:
             raise FileNotFoundError(f"no model at {path}: train it first") from error
         raise
+
+
+def publish_model(spark: SparkSession, model: PipelineModel, folder: str, name: str) -> str:
+    """Write a new version of a model and make it the current one; earlier versions stay. Returns the version."""
+    return publish(spark, folder, name, model.save)
+
+
+def load_published(spark: SparkSession, folder: str, name: str) -> tuple[PipelineModel, str]:
+    """The current model and its version; fails with FileNotFoundError when none is published."""
+    version, path = current_version(spark, folder, name)
+    return PipelineModel.load(path), version

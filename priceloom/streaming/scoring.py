@@ -10,6 +10,8 @@ from priceloom.functions.scalars import clamp_percent, formula_price, implied_di
 from priceloom.operators.drift import check_drift
 from priceloom.operators.training import score
 from priceloom.schema import DISCOUNT_FEATURES, INPUT_BOUNDS
+from priceloom.sources.models import load_published
+from priceloom.sources.stats import add_batch, merged_stats
 
 
 def within_bounds(requests: DataFrame, task: str = "discount") -> DataFrame:
@@ -81,3 +83,32 @@ def score_stream(requests: DataFrame, model: PipelineModel, stats: DataFrame | N
     scored = scored_with_drift(requests, model, stats, features)
     writer = scored.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start(out)
+
+
+def _started(writer, available_now: bool) -> StreamingQuery:
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def stats_stream(rows: DataFrame, features: list[str], path: str, checkpoint: str,
+                 available_now: bool = False) -> StreamingQuery:
+    """Keep the state of ``merged_stats`` up to date; a batch that runs again replaces its own part."""
+    def add(batch: DataFrame, number: int) -> None:
+        add_batch(batch, features, path, number)
+
+    return _started(rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint), available_now)
+
+
+def score_published(requests: DataFrame, models: str, name: str, stats: str, out: str, checkpoint: str | None = None,
+                    features: list[str] | None = None, available_now: bool = False) -> StreamingQuery:
+    """Score each batch with the model and the merged statistics that are current when it begins.
+
+    Rows carry ``model_version``. Each batch has a folder of its own, which a batch that runs again replaces
+    (with what is current then), so no row is written twice.
+    """
+    def answer(batch: DataFrame, number: int) -> None:
+        model, version = load_published(batch.sparkSession, models, name)
+        scored = scored_with_drift(batch, model, merged_stats(batch.sparkSession, stats), features)
+        scored.withColumn("model_version", F.lit(version)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    checkpoint = checkpoint or out.rstrip("/") + "/_checkpoint"
+    return _started(requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint), available_now)
