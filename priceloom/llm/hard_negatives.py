@@ -3,7 +3,7 @@
 An anchor has a few positives: its best rows of the same label. Each positive opens a window of scores, from
 half its score to just below it, and asks for the best rows of other labels inside. The windows overlap. Their
 upper limits cut the scores into disjoint slots, so that a row counts once: a combiner keeps the first ``k`` rows
-of every slot, block by block and then over all blocks. The answer to a window is the merge, in descending order,
+of every slot, block by block and then over all parts of the rows. The answer to a window is the merge, in descending order,
 of the slots from its upper limit down, until ``k`` rows are found or its lower limit is passed.
 
 Anchors are compared with all rows in pairs of bounded blocks, once to find positives and once to fill the
@@ -72,10 +72,25 @@ def _first(score: np.ndarray, allowed: np.ndarray, k: int):
     return row[place < k], column[place < k]
 
 
-def _compared(pick, names):
-    """Compare two blocks: ``pick`` yields ``(slot, rows, columns)`` for scores of some anchors and all rows."""
+def _first_by_slot(table: pa.Table, k: int) -> pa.Table:
+    """The first ``k`` rows of each anchor and slot: higher scores, then smaller ids, then smaller row keys."""
+    names = [n for n in ("anchor", "slot") if n in table.column_names]
+    keys = [table.column(n).to_numpy() for n in names]
+    score, vec_id, row = (table.column(n).to_numpy() for n in ("score", "vec_id", "row"))
+    order = np.lexsort((row, vec_id, ~score, *reversed(keys)))
+    new = np.r_[True, np.any([np.diff(x[order]) != 0 for x in keys], axis=0)][:len(order)]
+    starts = np.flatnonzero(new)
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return table.take(pa.array(order[place < k]))
 
-    def compare(anchors: pa.Table, rows: pa.Table) -> pa.Table:
+
+def _compared(pick, names, k):
+    """Compare two blocks: ``pick`` yields ``(slot, rows, columns)`` for scores of some anchors and all rows.
+
+    Of these and the rows found before, the first ``k`` of each anchor and slot are kept.
+    """
+
+    def compare(anchors: pa.Table, rows: pa.Table, before: pa.Table | None) -> pa.Table:
         anchors, left = _groups(anchors)
         rows, right = _groups(rows)
         take = {n: anchors.column(n).to_numpy() for n in ("vec_id", "label", "row")}
@@ -93,8 +108,9 @@ def _compared(pick, names):
                              "vec_id": other["vec_id"][theirs[j]], "row": other["row"][theirs[j]]}
                     for values, name in zip(out, names):
                         values.append(found[name])
-        return pa.table({n: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
+        here = pa.table({n: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
                          for n, v in zip(names, out)})
+        return here if before is None else _first_by_slot(pa.concat_tables([before, here]), k)
 
     return compare
 
@@ -151,7 +167,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = POSITIV
     that share an id are answered one by one. Windows of negative scores are empty. Empty tables give no rows.
     """
     shelf = Shelf(rows.sparkSession)
-    found = compare_blocks(anchors, rows, "row", "row", _compared(_same_label(positives), ("anchor", "vec_id", "row", "score")),
+    found = compare_blocks(anchors, rows, _compared(_same_label(positives), ("anchor", "vec_id", "row", "score"), positives),
                            "anchor long, vec_id long, row long, score long")
     best = Window.partitionBy("anchor").orderBy(F.desc("score"), "vec_id", "row")
     found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= positives)
@@ -164,8 +180,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = POSITIV
                                           F.min("from").alias("least"))
     asked = shelf.put("asked", anchors.join(slots, anchors["row"] == slots["anchor"]).drop("anchor"))
 
-    filled = compare_blocks(asked, rows, "row", "row",
-                            _compared(_in_slots(negatives), ("anchor", "slot", "vec_id", "row", "score")),
+    filled = compare_blocks(asked, rows, _compared(_in_slots(negatives), ("anchor", "slot", "vec_id", "row", "score"), negatives),
                             "anchor long, slot long, vec_id long, row long, score long")
     best = Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "vec_id", "row")
     filled = filled.withColumn("place", F.row_number().over(best)).where(F.col("place") <= negatives)

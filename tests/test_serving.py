@@ -258,3 +258,34 @@ def test_repeated_questions_are_questions_of_their_own(spark):
     found = nearest_documents(asked, corpus).collect()
     assert sorted((r.query_id, r.rank, r.doc_id) for r in found) == [
         ("a", 1, 0), ("a", 1, 5), ("a", 1, 5), ("a", 2, 4), ("a", 2, 4)]
+
+
+def test_vectors_are_shuffled_once(spark, monkeypatch):
+    """Blocks are written once and met in place: no row is copied for every block of the other side."""
+    monkeypatch.setattr(retrieval, "QUESTION_ROWS", 10)
+    monkeypatch.setattr(retrieval, "DOCUMENT_ROWS", 10)
+    corpus = spark.createDataFrame([(i, [float(i % 97), float(i % 89)]) for i in range(300)], "doc_id long, embedding array<float>")
+    found = nearest_documents(corpus.withColumnRenamed("doc_id", "query_id"), corpus, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "embedding" not in plan
+    assert found.count() == 600 and found.where("rank = 1 and doc_id = query_id and distance = 0").count() == 300
+
+
+def test_parts_of_the_documents_are_bounded():
+    from priceloom.operators.blocks import BLOCKS_IN_PART, RIGHT_PARTS, parts_of
+
+    assert [parts_of(100, n) for n in (1, 10, 1000)] == [1, 10, RIGHT_PARTS]
+    assert parts_of(1, 100) == 100 and parts_of(100, 100 * BLOCKS_IN_PART) == 100
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-12, 1e18, 1e100])
+def test_neighbours_at_any_scale(spark, scale):
+    """Rounded products rule out no neighbour, whatever the size of the numbers."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(1200, 5)) * scale
+    points[600:] = points[:600] + rng.normal(size=(600, 5)) * scale * 1e-6
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(points)] + [(2000, [1e200] * 5)]
+    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(3)
+    got = as_rows(nearest_documents(corpus.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id"), corpus, 3))
+    expected = brute({i: (points[i], 3) for i in range(0, 1200, 10)}, dict(enumerate(points)), 3)
+    assert [g[:3] for g in got] == [e[:3] for e in expected]
