@@ -146,3 +146,25 @@ def test_infinite_price_is_kept_and_nan_dropped(spark, sample_rows):
     got = clean_listings(raw).orderBy("product_id").select("product_id", "actual_price").collect()
     assert [tuple(r) for r in got] == [("L-01", math.inf), ("L-03", 5.0)]
     assert clean_listings(raw).where(F.col("category") == "none").count() == 0
+
+
+def test_lines_are_dealt_before_their_texts_are_made(spark, tmp_path, monkeypatch):
+    """The only shuffles are those of the join: a line as numbers, a part once; no listing is shuffled."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from priceloom.plans import listing
+
+    spark.range(400).selectExpr(
+        "id as l_orderkey", "id % 20 as l_partkey", "id % 7 as l_suppkey", "cast(1 as int) as l_linenumber", "10D as l_quantity",
+        "100D + id as l_extendedprice", "0.05D as l_discount").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(20).selectExpr("id as p_partkey", "concat('part ', id) as p_name", "'b' as p_brand", "'t' as p_type").write.parquet(
+        f"{tmp_path}/part.parquet")
+    plan = listing.raw_listings(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 2
+    dealt = []
+    for name in ("repartition", "repartitionByRange"):
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, name=name, **b: dealt.append(name) or self)
+    found = listing.listings(spark, str(tmp_path))
+    assert dealt == []
+    # Orders that 97, 101 or 89 divide lack a category, a discount or a rating; the last two are dropped.
+    assert found.count() == 400 - len({i for i in range(400) if i % 101 == 0 or i % 89 == 0})
