@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceloom.operators.clean import feature_target
+from priceloom.operators.forest import DeepForest
 from priceloom.operators.metrics import evaluate
 from priceloom.operators.moments import fit_quality, least_squares, moment_aggregates, moments_of_row, pooled
 from priceloom.operators.split import IS_TEST, fold_of, in_test, with_split
@@ -20,6 +21,8 @@ from priceloom.session import ensure_checkpoint_dir, held
 SEED = 42
 # The deepest tree the built-in learners grow; it stands for "no limit".
 DEEPEST = 30
+# Up to this depth a forest is small whatever the rows, and the built-in learner grows it.
+SHALLOW = 12
 
 # Model names and their default parameters.
 MODELS = {
@@ -64,6 +67,8 @@ def _estimator(train: DataFrame, name: str, params: dict, target: str):
         return LinearRegression(solver="normal", standardization=False, elasticNetParam=0.0, regParam=penalty, **common)
     depth = params.get("max_depth") or DEEPEST
     if name == "Random Forest":
+        if depth > SHALLOW:
+            return DeepForest(target, params["n_estimators"], depth, max(1, params.get("min_samples_split", 2) // 2), SEED)
         return RandomForestRegressor(
             numTrees=params["n_estimators"], maxDepth=depth, seed=SEED, featureSubsetStrategy="all",
             minInstancesPerNode=max(1, params.get("min_samples_split", 2) // 2), maxBins=128, maxMemoryInMB=1024,
