@@ -6,10 +6,11 @@ from math import isnan
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from priceloom.operators.boosting import BoostedTrees
 from priceloom.operators.clean import feature_target
 from priceloom.operators.forest import DeepForest
 from priceloom.operators.metrics import evaluate
@@ -74,10 +75,7 @@ def _estimator(train: DataFrame, name: str, params: dict, target: str):
             minInstancesPerNode=max(1, params.get("min_samples_split", 2) // 2), maxBins=128, maxMemoryInMB=1024,
             cacheNodeIds=True, checkpointInterval=10, **common,
         )
-    return GBTRegressor(
-        maxIter=params["n_estimators"], stepSize=params["learning_rate"], maxDepth=depth, seed=SEED, maxBins=128,
-        checkpointInterval=10, maxMemoryInMB=1024, **common,
-    )
+    return BoostedTrees(target, params["n_estimators"], params["learning_rate"], depth)
 
 
 def fit_model(train: DataFrame, name: str, features: list[str], target: str,
