@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 import priceloom.operators.joins as joins
+import priceloom.sources.csv_ranges as csv_ranges
 import priceloom.sources.listings as source
 from priceloom.schema import RAW_COLUMNS
 from priceloom.sources.csv_ranges import csv_records, read_csv_ranges
@@ -84,3 +86,20 @@ def test_listings_on_both_sides_of_the_size(spark, tmp_path, monkeypatch, limit)
     (tmp_path / "a.csv").write_text("key,text\n1,x\n")
     with pytest.raises(KeyError):
         source.read_listings_csv(spark, str(tmp_path))
+
+
+def test_the_border_scan_passes_on_no_whole_record():
+    lines = ["tail of one", "", "1,a", "2,\"two", "lines\"", "\r", "3,ü", "4,\"goes", "on"]
+    columns = {"range": [7] * 9, "odd": [False] * 9, "top": [False] * 9, "value": [f"{x}\n" for x in lines]}
+    found = {}
+    for border in (True, False):
+        batches = pa.table(columns).to_batches(max_chunksize=4)
+        out = pa.Table.from_batches(list(csv_ranges._cut(border)(iter(batches))))
+        found[border] = list(zip(out.column("part").to_pylist(), out.column("record").to_pylist()))
+        assert set(out.column("range").to_pylist()) == {7} and not any(out.column("first").to_pylist())
+    assert found[True] == [(csv_ranges.TAIL, "4,\"goes\non")]
+    assert found[False] == [(csv_ranges.WHOLE, r) for r in ("tail of one", "1,a", "2,\"two\nlines\"", "3,ü")] + found[True]
+    inside = {**columns, "odd": [True] * 9, "value": [f"{x}\n" for x in ["goes", "on\"", *lines[2:]]]}
+    out = pa.Table.from_batches(list(csv_ranges._cut(True)(iter(pa.table(inside).to_batches()))))
+    assert out.column("part").to_pylist() == [csv_ranges.HEAD, csv_ranges.TAIL]
+    assert out.column("record").to_pylist() == ["goes\non\"", "4,\"goes\non"]
