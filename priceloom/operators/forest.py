@@ -2,9 +2,11 @@
 
 The built-in learner collects a few thousand nodes per round and keeps every tree in the driver; trees that end in
 single rows have as many nodes as rows. Here features are cut into bins and each row counts in each tree as often as a hash of
-its number says. Rounds over all rows split the upper nodes of all trees by sums per bin; only the chosen splits reach
-the driver. A node of at most ``GROUP_ROWS`` rows goes with its rows to one task, which grows what lies below it: a
-subtree, one row of a Parquet table. Scoring deals the distinct bins of the rows to the subtrees and adds up their values.
+its number says. Rows are dealt by their set of bins once, and what a tree draws of a set is added up before anything else:
+an entry of one weight and one sum, however many rows share the set. Rounds over all blocks split the upper nodes of all
+trees by sums per bin; only the chosen splits reach the driver. A node of at most ``GROUP_ROWS`` entries goes with them to
+one task, which grows what lies below it: a subtree, one row of a Parquet table. Scoring deals the distinct sets of bins of
+the rows to the subtrees, in blocks, and adds up their values.
 """
 
 import json
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
@@ -23,23 +26,31 @@ from pyspark.sql import functions as F
 from priceloom.session import checkpointed, ensure_checkpoint_dir
 
 BINS = 128
-#: A node with more rows, repeats by the draw included, is split by all tasks together.
-GROUP_ROWS = 200_000
-#: Nodes per round over the rows; a task keeps the sums per bin of all of them.
+#: A node with more entries, drawn rows of one set of bins being one, is split by all tasks together.
+GROUP_ROWS = 1 << 21
+#: Nodes per round over the blocks; a task keeps the sums per bin of all of them.
 ROUND_NODES = 8192
 #: Rows that a task handles at once, and bytes that it passes on at once.
 STRETCH_ROWS, SENT_BYTES = 1 << 18, 16 << 20
+#: Entries whose nodes a task splits at once, few enough for a cache; with so many for each node sums by bin cost less than sorting.
+PIECE_ROWS, DENSE = 1 << 16, 48
+#: Sets of bins that are scored as a block; a place among them takes two bytes.
+ASKED_CELLS = 1 << 16
 #: Gains this close, as a share, are equal: the first feature, then the lowest bin, is taken wherever a node is split.
 TIE = 1e-9
 #: Subtrees in a Parquet file, so that a reader holds few at a time.
-FILE_SUBTREES = 32
+FILE_SUBTREES = 4
 
 _U = np.uint64
+BLOCKS = "first long, cells binary, sizes binary, targets binary"
 SUMS = "tree int, node int, part long, sums binary"
-BEST = "tree int, node int, feature int, split int, gain double, weight_left double, weight_right double, sum_left double, sum_right double"
-DEALT = "group int, part long, cells binary, targets binary, copies binary"
-SUBTREES = "group int, tree int, feature binary, split binary, below binary, value binary, gains array<double>"
-_SUBTREE_SCHEMA = pa.schema([("group", pa.int32()), ("tree", pa.int32()), *((n, pa.binary()) for n in ("feature", "split", "below", "value")),
+BEST = ("tree int, node int, feature int, split int, gain double, weight_left double, weight_right double, sum_left double, sum_right double, "
+        "rows_left double, rows_right double")
+DEALT = "group int, part long, cells binary, weights binary, lows binary, mixed binary, highs binary, totals binary"
+SUBTREES = "group int, tree int, feature binary, split binary, value binary, gains array<double>"
+ASKED = "group int, block long, places binary, cells binary"
+ANSWERED = "block long, places binary, cells binary, value binary"
+_SUBTREE_SCHEMA = pa.schema([("group", pa.int32()), ("tree", pa.int32()), *((n, pa.binary()) for n in ("feature", "split", "value")),
                              ("gains", pa.list_(pa.float64()))])
 
 
@@ -143,30 +154,72 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _trained(batch: pa.RecordBatch, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (_from_binary(batch.column("cell"), d), batch.column("y").to_numpy(), batch.column("row").to_numpy())
+class _Block:
+    """Rows in the order of their bins and targets: sets of bins, and of each row its number, its set's place and its target."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, d: int):
+        cells, sizes, y = (np.frombuffer(batch.column(c)[i].as_buffer(), kind)
+                           for c, kind in (("cells", np.uint8), ("sizes", np.int32), ("targets", float)))
+        self.first, self.cells, self.y = batch.column("first")[i].as_py(), cells.reshape(-1, d), y
+        self.rows = np.arange(self.first, self.first + len(y), dtype=np.int64)
+        self.set = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+    def drawn(self, tree: int, seed: int) -> tuple[np.ndarray, ...]:
+        """Of each set that a tree draws from, its place, how many rows count, the sum, the least and the largest of their targets."""
+        copies = _copies(self.rows, tree, seed)
+        here = np.flatnonzero(copies)
+        place, y, copies = self.set[here], self.y[here], copies[here].astype(float)
+        if not len(here):
+            return place, copies, y, y, y
+        start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        return (place[start], np.add.reduceat(copies, start), np.add.reduceat(copies * y, start),
+                y[start], y[np.r_[start[1:], len(y)] - 1])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[_Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _Block(batch, i, d)
+
+
+def _packed(d: int):
+    """Blocks of rows ``(cell, y)`` that come in order."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        for batch in _stretches(batches):
+            cells, y = _from_binary(batch.column("cell"), d), batch.column("y").to_numpy()
+            start = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)])
+            sizes = np.diff(np.r_[start, len(y)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (cells[start], sizes, y))],
+                                             ["first", "cells", "sizes", "targets"])
+            first += len(y)
+
+    return rows
 
 
 def _sums(tops: dict[int, tuple], active: dict[int, list[int]], d: int, centre: float, seed: int):
-    """Of each active node, weight and weighted target by feature and bin."""
+    """Of each active node, weight, weighted target and entries by feature and bin."""
 
     def rows(batches):
         part, found = None, {}
-        for batch in _stretches(batches):
-            cells, y, row = _trained(batch, d)
-            part = int(row[0]) if part is None else part
-            y = y - centre
+        for block in _blocks(batches, d):
+            part = block.first if part is None else part
             for tree, nodes in active.items():
                 slot = np.full(len(tops[tree][0]), -1, np.int64)
                 slot[nodes] = np.arange(len(nodes))
-                copies, place = _copies(row, tree, seed), slot[_leaf(tops[tree], cells)]
-                here = np.flatnonzero((copies > 0) & (place >= 0))
-                weight = copies[here].astype(float)
-                total = found.setdefault(tree, np.zeros((2, len(nodes), d, BINS)))
+                place, weight, total, _, _ = block.drawn(tree, seed)
+                cells = block.cells[place]
+                node = slot[_leaf(tops[tree], cells)]
+                if (node < 0).any():
+                    here = np.flatnonzero(node >= 0)
+                    node, cells, weight, total = node[here], cells[here], weight[here], total[here]
+                total = total - centre * weight
+                sums = found.setdefault(tree, np.zeros((3, len(nodes), d, BINS)))
                 for f in range(d):
-                    index = place[here] * BINS + cells[here, f]
-                    for k, values in enumerate((weight, weight * y[here])):
-                        total[k, :, f] += np.bincount(index, values, len(nodes) * BINS).reshape(-1, BINS)
+                    index = node * BINS + cells[:, f]
+                    for k, values in enumerate((weight, total, None)):
+                        sums[k, :, f] += np.bincount(index, values, len(nodes) * BINS).reshape(-1, BINS)
         for tree, total in found.items():
             nodes = active[tree]
             sent = [total[:, i].tobytes() for i in range(len(nodes))]
@@ -182,7 +235,9 @@ def _best(d: int, least: int):
 
     def split(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
-        weight, total = sum(np.frombuffer(b.as_py()).reshape(2, d, BINS) for b in table.column("sums"))
+        sums = sum(np.frombuffer(b.as_py()).reshape(-1, d, BINS) for b in table.column("sums"))
+        # Where entries are not counted by themselves, each row is one.
+        weight, total, entries = sums[0], sums[1], sums[-1] if len(sums) > 2 else sums[0]
         whole, value = weight[0].sum(), total[0].sum()
         left, below = np.cumsum(weight, axis=1), np.cumsum(total, axis=1)
         right, above = whole - left, value - below
@@ -193,9 +248,11 @@ def _best(d: int, least: int):
         feature, at = np.unravel_index(np.argmax(gain >= gain.max() * (1 - TIE)), gain.shape)
         found = []
         if gain[feature, at] > 1e-12 * sides[feature, at]:
+            rows_left = entries[feature, :at + 1].sum()
             found = [{"tree": key[0].as_py(), "node": key[1].as_py(), "feature": int(feature), "split": int(at),
                       "gain": gain[feature, at], "weight_left": left[feature, at], "weight_right": right[feature, at],
-                      "sum_left": below[feature, at], "sum_right": above[feature, at]}]
+                      "sum_left": below[feature, at], "sum_right": above[feature, at],
+                      "rows_left": rows_left, "rows_right": entries[feature].sum() - rows_left}]
         kinds = {"tree": pa.int32(), "node": pa.int32(), "feature": pa.int32(), "split": pa.int32()}
         names = [c.split()[0] for c in BEST.split(", ")]
         return pa.Table.from_pylist(found, pa.schema([(n, kinds.get(n, pa.float64())) for n in names]))
@@ -216,23 +273,22 @@ def _by_group(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _deal(tops: list[tuple], d: int, seed: int):
-    """Rows by the group that grows them, packed."""
-    names, kinds = ["group", "part", "cells", "targets", "copies"], [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+    """Entries by the group that grows them, packed; only those whose targets differ carry their sum and their largest target."""
+    names, kinds = [c.split()[0] for c in DEALT.split(", ")], [pa.int32(), pa.int64(), *[pa.binary()] * 6]
 
     def rows(batches):
         out, size = [], 0
-        for batch in _stretches(batches):
-            cells, y, row = _trained(batch, d)
+        for block in _blocks(batches, d):
             for tree, top in enumerate(tops):
-                copies = _copies(row, tree, seed)
-                drawn = np.flatnonzero(copies)
-                kept = cells[drawn]
-                groups = top[3][_leaf(top[:3], kept)]
-                for group, members in _by_group(groups):
+                place, weight, total, low, high = block.drawn(tree, seed)
+                kept = block.cells[place]
+                for group, members in _by_group(top[3][_leaf(top[:3], kept)]):
                     if group >= 0:
-                        which = drawn[members]
-                        out.append((group, int(row[0]), kept[members].tobytes(), y[which].tobytes(), copies[which].tobytes()))
-                        size += len(members) * (d + 9)
+                        mixed = np.flatnonzero(low[members] != high[members])
+                        which = members[mixed]
+                        packed = (kept[members], weight[members].astype(np.uint32), low[members], mixed.astype(np.int32), high[which], total[which])
+                        out.append((group, block.first, *(x.tobytes() for x in packed)))
+                        size += len(members) * (d + 12)
                 if size > SENT_BYTES:
                     yield _sent(out, names, kinds)
                     out, size = [], 0
@@ -252,48 +308,81 @@ def _merged(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, (np.diff(words[order].view(np.int64), axis=0) != 0).any(axis=1)])
 
 
-def _choose(cells, orders, node, starts, weight, total, whole, value, open_, floor, least):
+def _by_bin(bins, w, t, node, starts, whole):
+    """Candidate splits of one feature from sums by bin: ``(node, weight and sum on the left, bin)``."""
+    index = node * BINS + bins
+    weights = np.bincount(index, w, len(starts) * BINS).reshape(-1, BINS)
+    left, below = np.cumsum(weights, axis=1), np.cumsum(np.bincount(index, t, weights.size).reshape(-1, BINS), axis=1)
+    own, at = np.nonzero((weights > 0) & (left < whole[:, None]))
+    return own, left[own, at], below[own, at], at
+
+
+def _by_order(bins, w, t, node, starts, whole):
+    """The same by sorting."""
+    key = (node.astype(_U) << _U(40)) | (bins.astype(_U) << _U(32)) | np.arange(len(node), dtype=_U)
+    key.sort()
+    order, at = (key & _U(0xFFFFFFFF)).astype(np.int64), key >> _U(32)
+    w, t = w[order], t[order]
+    left, below = np.cumsum(w), np.cumsum(t)
+    edge = np.flatnonzero((at[1:] != at[:-1]) & (node[1:] == node[:-1]))
+    own = node[edge]
+    return own, left[edge] - (left[starts] - w[starts])[own], below[edge] - (below[starts] - t[starts])[own], (at[edge] & _U(255)).astype(np.uint8)
+
+
+def _choose(bins, weight, total, node, starts, whole, value, floor, least):
     """Per node the best feature, -1 for none, its bin and its gain."""
     n_nodes = len(starts)
     best, feature, split = floor.copy(), np.full(n_nodes, -1, np.int16), np.zeros(n_nodes, np.uint8)
     parent = value**2 / whole
-    for f, order in enumerate(orders):
-        bins, w, t = cells[order, f], weight[order], total[order]
-        left, below = np.cumsum(w), np.cumsum(t)
-        edge = np.flatnonzero((bins[1:] != bins[:-1]) & (node[1:] == node[:-1]))
-        edge = edge[open_[node[edge]]]
-        own = node[edge]
-        left = left[edge] - (left[starts] - w[starts])[own]
-        below = below[edge] - (below[starts] - t[starts])[own]
-        right, above = whole[own] - left, value[own] - below
-        fits = (left >= least) & (right >= least)
-        if not fits.any():
+    candidates = _by_bin if len(node) >= DENSE * n_nodes else _by_order
+    for f in range(len(bins)):
+        own, left, below, at = candidates(bins[f], weight, total, node, starts, whole)
+        right = whole[own] - left
+        if least > 1:
+            fits = (left >= least) & (right >= least)
+            own, left, below, at, right = (a[fits] for a in (own, left, below, at, right))
+        if not len(own):
             continue
-        edge, own, left, below, right, above = (a[fits] for a in (edge, own, left, below, right, above))
-        gain = below**2 / left + above**2 / right - parent[own]
+        gain = below**2 / left + (value[own] - below)**2 / right - parent[own]
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         top = np.maximum.reduceat(gain, first)
         hit = np.flatnonzero(gain >= np.repeat(top - np.abs(top) * TIE, np.diff(np.r_[first, len(own)])))
         hit = hit[np.r_[True, own[hit][1:] != own[hit][:-1]]]
         wins = top > best[own[first]] * (1 + TIE)
-        at, hit = own[first][wins], hit[wins]
-        best[at], feature[at], split[at] = top[wins], f, bins[edge[hit]]
+        nodes, hit = own[first][wins], hit[wins]
+        best[nodes], feature[nodes], split[nodes] = top[wins], f, at[hit]
     return feature, split, best
 
 
-def _halved(order, node, right, inner, rank):
-    """The members of the nodes that are split, left ones before right ones, else in the same order."""
-    kept = inner[node]
-    order, place = order[kept], rank[node[kept]]
-    high = right[order]
-    n_nodes = int(place[-1]) + 1 if len(place) else 0
-    lows = np.bincount(place, ~high, n_nodes).astype(np.int64)
-    highs = np.bincount(place, high, n_nodes).astype(np.int64)
-    to = np.where(high, np.cumsum(high) - 1 + np.cumsum(lows)[place], np.cumsum(~high) - 1 + (np.cumsum(highs) - highs)[place])
-    out = np.empty_like(order)
-    out[to] = order
-    sizes = np.column_stack([lows, highs]).ravel()
-    return out, np.cumsum(sizes) - sizes, np.repeat(np.arange(2 * n_nodes), sizes)
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Neighbouring nodes with few entries together, a larger one alone: ``(node, end, entry, end)``."""
+    ends = np.cumsum(sizes)
+    node = entry = 0
+    while node < len(sizes):
+        end = max(node + 1, int(np.searchsorted(ends, entry + PIECE_ROWS, "right")))
+        yield node, end, entry, int(ends[end - 1])
+        node, entry = end, int(ends[end - 1])
+
+
+def _halves(bins, feature, split, sizes):
+    """The entries of the nodes that are split, left ones before right ones, else in the same order, and the sizes of both sides."""
+    n = bins.shape[1]
+    node = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    asked = feature[node]
+    high = bins[np.maximum(asked, 0), np.arange(n)] > split[node]
+    inner = feature >= 0
+    places = np.arange(n)
+    if not inner.all():
+        places = np.flatnonzero(inner[node])
+        node, high = (np.cumsum(inner, dtype=np.int32) - 1)[node[places]], high[places]
+    sizes = sizes[inner]
+    highs = np.bincount(node, high, len(sizes)).astype(np.int64)
+    lows = sizes - highs
+    seen = np.cumsum(high)
+    to = np.where(high, seen - 1 + np.cumsum(lows)[node], np.arange(len(node)) - seen + (np.cumsum(highs) - highs)[node])
+    order = np.empty_like(places)
+    order[to] = places
+    return order, np.column_stack([lows, highs]).ravel()
 
 
 def _grow(cells, weight, total, low, high, depth: int, least: int):
@@ -301,33 +390,44 @@ def _grow(cells, weight, total, low, high, depth: int, least: int):
 
     ``below`` is the left child of an inner node, with the right one after it, and the place of a leaf's value.
     """
-    levels, values, gains = [], [], np.zeros(cells.shape[1])
-    orders = [np.argsort(cells[:, f], kind="stable") for f in range(cells.shape[1])]
-    starts, node = np.zeros(1, np.int64), np.zeros(len(cells), np.int64)
-    n_nodes = n_values = 0
-    while len(starts):
-        first = orders[0]
-        whole, value = np.add.reduceat(weight[first], starts), np.add.reduceat(total[first], starts)
-        spread = np.maximum.reduceat(high[first], starts) - np.minimum.reduceat(low[first], starts)
-        open_ = (spread > 0) & (depth > len(levels))
-        feature, split, gain = _choose(cells, orders, node, starts, weight, total, whole, value, open_,
-                                       1e-12 * whole * spread**2, least)
-        inner = feature >= 0
-        rank = np.cumsum(inner) - 1
-        n_nodes += len(starts)
-        below = np.where(inner, n_nodes + 2 * rank, n_values + np.cumsum(~inner) - 1).astype(np.int32)
-        levels.append((feature, split, below))
-        values.append((value / whole)[~inner])
-        n_values += len(values[-1])
-        gains += np.bincount(feature[inner], gain[inner], len(gains))
-        asked = np.zeros(len(cells), np.int16)
-        limit = np.zeros(len(cells), np.uint8)
-        asked[first], limit[first] = feature[node], split[node]
-        right = cells[np.arange(len(cells)), np.maximum(asked, 0)] > limit
-        halves = [_halved(order, node, right, inner, rank) for order in orders]
-        orders = [h[0] for h in halves]
-        _, starts, node = halves[0]
-    return tuple(np.concatenate(x) for x in zip(*levels)), np.concatenate(values), gains
+    d = cells.shape[1]
+    levels, values, gains, bins = [], [], np.zeros(d), np.ascontiguousarray(cells.T)
+    sizes = np.array([len(cells)])
+    while True:
+        starts = np.cumsum(sizes) - sizes
+        whole, value = np.add.reduceat(weight, starts), np.add.reduceat(total, starts)
+        spread = np.maximum.reduceat(high, starts) - np.minimum.reduceat(low, starts)
+        open_ = (spread > 0) & (sizes > 1) & (depth > len(levels))
+        feature, split = np.full(len(sizes), -1, np.int16), np.zeros(len(sizes), np.uint8)
+        found = np.flatnonzero(open_)
+        if len(found) < len(sizes):
+            # Leaves need their entries no more.
+            kept = np.flatnonzero(np.repeat(open_, sizes))
+            bins, weight, total, low, high = bins[:, kept], weight[kept], total[kept], low[kept], high[kept]
+            sizes = sizes[found]
+        floor = 1e-12 * (whole * spread**2)[found]
+        for a, b, i, j in _pieces(sizes):
+            nodes, own = found[a:b], np.repeat(np.arange(b - a), sizes[a:b])
+            feature[nodes], split[nodes], gain = _choose(bins[:, i:j], weight[i:j], total[i:j], own, np.cumsum(sizes[a:b]) - sizes[a:b],
+                                                         whole[nodes], value[nodes], floor[a:b], least)
+            inner = feature[nodes] >= 0
+            gains += np.bincount(feature[nodes][inner], gain[inner], d)
+        leaf = feature < 0
+        levels.append((feature, split))
+        values.append((value / whole)[leaf])
+        if leaf.all():
+            break
+        order, sizes = _halves(bins, feature[found], split[found], sizes)
+        bins, weight, total, low, high = bins[:, order], weight[order], total[order], low[order], high[order]
+    feature, split = (np.concatenate(x) for x in zip(*levels))
+    return (feature, split, _below(feature)), np.concatenate(values), gains
+
+
+def _below(feature: np.ndarray) -> np.ndarray:
+    """What nodes that stand level by level point to: children in the order of their parents, values in that of the leaves."""
+    inner = feature >= 0
+    rank = np.cumsum(inner)
+    return np.where(inner, 2 * rank - 1, np.arange(len(feature)) - rank).astype(np.int32)
 
 
 def _grown(trees: list[int], depths: list[int], d: int, least: int, scale: float):
@@ -335,65 +435,105 @@ def _grown(trees: list[int], depths: list[int], d: int, least: int, scale: float
 
     def grow(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         group = key[0].as_py()
-        table = table.sort_by("part")
-        cells, y, copies = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-                            for c, kind in (("cells", np.uint8), ("targets", float), ("copies", np.uint8)))
-        cells = cells.reshape(-1, d)
+        cells, weight, low, high, total = _entries(table.sort_by("part"), d)
         order, first = _merged(cells)
-        y, copies = y[order], copies[order].astype(float)
-        centre = y.mean()
-        top, values, gains = _grow(cells[order[first]], np.add.reduceat(copies, first), np.add.reduceat(copies * (y - centre), first),
-                                   np.minimum.reduceat(y, first), np.maximum.reduceat(y, first), depths[group], least)
-        return _subtrees([(group, trees[group], *top, np.rint((values + centre) * scale).astype(np.int64), gains.tolist())])
+        weight, low, high, total = weight[order], low[order], high[order], total[order]
+        centre = total.sum() / weight.sum()
+        top, values, gains = _grow(cells[order[first]], np.add.reduceat(weight, first), np.add.reduceat(total - weight * centre, first),
+                                   np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), depths[group], least)
+        return _subtrees([(group, trees[group], *top[:2], np.rint((values + centre) * scale).astype(np.int64), gains.tolist())])
 
     return grow
 
 
+def _entries(table: pa.Table, d: int) -> tuple[np.ndarray, ...]:
+    """Sets of bins, weights, least and largest targets and sums of a group, unpacked."""
+    kinds = {"cells": np.uint8, "weights": np.uint32, "lows": float}
+    cells, weight, low = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds.items())
+    weight, high = weight.astype(float), low.copy()
+    total, at = weight * low, 0
+    for lows, *mixed in zip(*(table.column(c).to_pylist() for c in ("lows", "mixed", "highs", "totals"))):
+        where, highs, totals = (np.frombuffer(x, kind) for x, kind in zip(mixed, (np.int32, float, float)))
+        high[at + where], total[at + where] = highs, totals
+        at += len(lows) // 8
+    return cells.reshape(-1, d), weight, low, high, total
+
+
 def _subtrees(rows: list[tuple]) -> pa.Table:
-    packed = [(g, t, f.tobytes(), s.tobytes(), b.tobytes(), v.tobytes(), gains) for g, t, f, s, b, v, gains in rows]
+    packed = [(g, t, (f.astype(np.int8) if f.max() < 128 else f).tobytes(), s.tobytes(), v.tobytes(), gains) for g, t, f, s, v, gains in rows]
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*packed), _SUBTREE_SCHEMA.types)], schema=_SUBTREE_SCHEMA)
 
 
 def _asked(tops: list[tuple], d: int):
-    """Sets of bins by the group that knows their value, packed."""
+    """Blocks of sets of bins by the group that knows their value, packed with their places in the block."""
+    names, kinds = [c.split()[0] for c in ASKED.split(", ")], [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def rows(batches):
-        out, size = [], 0
+        out, size, block = [], 0, TaskContext.get().partitionId() << 33
         for batch in _stretches(batches):
-            cells = _from_binary(batch.column("cell"), d)
-            for top in tops:
-                for group, members in _by_group(top[3][_leaf(top[:3], cells)]):
-                    out.append((group, cells[members].tobytes()))
-                    size += len(members) * d
-                if size > SENT_BYTES:
-                    yield _sent(out, ["group", "cells"], [pa.int32(), pa.binary()])
-                    out, size = [], 0
+            every = _from_binary(batch.column("cell"), d)
+            for i in range(0, len(every), ASKED_CELLS):
+                cells = every[i:i + ASKED_CELLS]
+                for top in tops:
+                    for group, members in _by_group(top[3][_leaf(top[:3], cells)]):
+                        out.append((group, block, members.astype(np.uint16).tobytes(), cells[members].tobytes()))
+                        size += len(members) * (d + 2)
+                    if size > SENT_BYTES:
+                        yield _sent(out, names, kinds)
+                        out, size = [], 0
+                block += 1
         if out:
-            yield _sent(out, ["group", "cells"], [pa.int32(), pa.binary()])
+            yield _sent(out, names, kinds)
 
     return rows
 
 
 def _unpacked(table: pa.Table, row: int = 0) -> tuple[tuple, np.ndarray]:
-    kinds = {"feature": np.int16, "split": np.uint8, "below": np.int32, "value": np.int64}
-    feature, split, below, value = (np.frombuffer(table.column(c)[row].as_py(), k) for c, k in kinds.items())
-    return (feature, split, below), value
+    feature, split, value = (table.column(c)[row].as_py() for c in ("feature", "split", "value"))
+    feature = np.frombuffer(feature, np.int8 if len(feature) == len(split) else np.int16).astype(np.int16)
+    return (feature, np.frombuffer(split, np.uint8), _below(feature)), np.frombuffer(value, np.int64)
 
 
-def _answered(d: int):
-    """The values of a group's sets of bins."""
+def _answered(first: set[int], d: int):
+    """The values of a group's sets of bins; the groups ``first``, those of one tree, pass the sets on."""
 
     def answer(asked: pa.Table, subtree: pa.Table) -> pa.Table:
-        cells, value = np.zeros((0, d), np.uint8), np.zeros(0, np.int64)
+        cells, values = asked.column("cells").to_pylist(), [b""] * asked.num_rows
         if asked.num_rows and subtree.num_rows:
-            top, values = _unpacked(subtree)
-            cells = np.frombuffer(b"".join(asked.column("cells").to_pylist()), np.uint8).reshape(-1, d)
-            value = values[top[2][_leaf(top, cells)]]
-        return pa.table({"_cell": _to_binary(cells), "value": pa.array(value, pa.int64())})
+            top, known = _unpacked(subtree)
+            joined = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, d)
+            # A part at a time: walking down takes several numbers for each set.
+            value = np.concatenate([known[top[2][_leaf(top, joined[i:i + PIECE_ROWS])]] for i in range(0, len(joined), PIECE_ROWS)])
+            ends = np.cumsum([len(c) // d for c in cells])
+            values = [value[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends)]
+        if asked.num_rows and asked.column("group")[0].as_py() not in first:
+            cells = [b""] * asked.num_rows
+        return pa.table({"block": asked.column("block"), "places": asked.column("places"), "cells": pa.array(cells, pa.binary()),
+                         "value": pa.array(values, pa.binary())})
 
     return answer
 
 
+def _scored(scale: float, d: int):
+    """The mean of what the trees say of each set of bins of a block."""
+
+    def score(table: pa.Table) -> pa.Table:
+        parts = [[np.frombuffer(x, kind) for x, kind in zip(row, (np.uint16, np.uint8, np.int64))]
+                 for row in zip(*(table.column(c).to_pylist() for c in ("places", "cells", "value")))]
+        n = 1 + max(int(places.max()) for places, _, _ in parts)
+        cells, total, count = np.zeros((n, d), np.uint8), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for places, own, value in parts:
+            if len(own):
+                cells[places] = own.reshape(-1, d)
+            if len(value):
+                total[places] += value
+                count[places] += 1
+        known = np.flatnonzero(count)
+        return pa.table({"_cell": _to_binary(cells[known]), "prediction": pa.array(total[known] / count[known] / scale)})
+
+    return score
+
+
 class DeepForest(Estimator):
     """Trees on ``_features``, split on all features; ``least`` rows at least on each side of a split."""
 
@@ -405,20 +545,24 @@ class DeepForest(Estimator):
         spark = dataset.sparkSession
         rows = dataset.select(vector_to_array("_features").alias("_x"), F.col(self.label).cast("double").alias("_y"))
         d = len(dataset.select("_features").first()[0]) if not dataset.isEmpty() else 0
-        thresholds, n_rows, top = _thresholds(rows, d)
-        binned = checkpointed(rows.select(_bins_of(thresholds)("_x").alias("cell"), F.col("_y").alias("y")))
-        data = binned.withColumn("row", F.monotonically_increasing_id())
-        centre = data.agg(F.avg("y")).first()[0]
+        thresholds, _, top = _thresholds(rows, d)
+        centre = rows.agg(F.avg("_y")).first()[0]
+        # Rows of one set of bins come together; in order, so that numbers and draws do not depend on how they arrived.
+        binned = rows.select(_bins_of(thresholds)("_x").alias("cell"), F.col("_y").alias("y")).hint("rebalance", "cell")
+        data = checkpointed(binned.sortWithinPartitions("cell", "y").mapInArrow(_packed(d), BLOCKS))
+        entries = data.agg(F.sum(F.octet_length("sizes") / 4)).first()[0]
         # Values are whole numbers of a fixed unit: sums are exact in any order, and those of all trees fit 62 bits.
         scale = 2.0 ** min(900, 61 - int(np.ceil(np.log2(max(self.trees, 2)))) - int(np.ceil(np.log2(top or 1.0))))
-        tops, groups, leaves, gains = self._upper(data, d, n_rows, centre)
+        tops, groups, leaves, gains = self._upper(data, d, entries, centre)
         trees, depths = [t for t, _ in groups], [p for _, p in groups]
-        grown = (data.mapInArrow(_deal(tops, d, self.seed), DEALT).groupBy("group")
+        # Tasks of about one full group, and one for each core at least.
+        tasks = min(len(groups), max(spark.sparkContext.defaultParallelism, int(entries * self.trees / GROUP_ROWS)))
+        grown = (data.mapInArrow(_deal(tops, d, self.seed), DEALT).repartition(tasks, "group").groupBy("group")
                  .applyInArrow(_grown(trees, depths, d, self.least, scale), SUBTREES))
         path = f"{ensure_checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"
         grown.write.option("maxRecordsPerFile", FILE_SUBTREES).parquet(path)
         if leaves:
-            single = [(g, t, np.full(1, -1, np.int16), np.zeros(1, np.uint8), np.zeros(1, np.int32),
+            single = [(g, t, np.full(1, -1, np.int16), np.zeros(1, np.uint8),
                        np.rint(np.array([v]) * scale).astype(np.int64), [0.0] * d) for g, t, v in leaves]
             spark.createDataFrame(_subtrees(single), SUBTREES).write.mode("append").parquet(path)
         share = spark.read.parquet(path).groupBy("tree").agg(*[F.sum(F.get("gains", F.lit(i))).alias(f"g{i}") for i in range(d)])
@@ -430,10 +574,10 @@ class DeepForest(Estimator):
                  "importances": (mean / (mean.sum() or 1.0)).tolist()}
         return DeepForestModel(about, path)
 
-    def _upper(self, data: DataFrame, d: int, n_rows: int, centre: float):
+    def _upper(self, data: DataFrame, d: int, entries: float, centre: float):
         """The upper nodes of all trees; ``(tree, depth below)`` of each group; ``(group, tree, value)`` of large leaves; gains."""
         tree = [{"feature": [-1], "split": [0], "below": [0], "depth": [0]} for _ in range(self.trees)]
-        waiting = [(t, 0) for t in range(self.trees)] if n_rows > GROUP_ROWS and self.depth else []
+        waiting = [(t, 0) for t in range(self.trees)] if entries > GROUP_ROWS and self.depth else []
         large, gains = {}, np.zeros((self.trees, d))
         while waiting:
             now, waiting = sorted(waiting)[:ROUND_NODES], sorted(waiting)[ROUND_NODES:]
@@ -452,7 +596,7 @@ class DeepForest(Estimator):
                     child, depth = len(t["feature"]), t["depth"][node] + 1
                     for name, value in (("feature", -1), ("split", 0), ("below", 0), ("depth", depth)):
                         t[name].append(value)
-                    if best[f"weight_{side}"] > GROUP_ROWS:
+                    if best[f"rows_{side}"] > GROUP_ROWS:
                         # What no later round splits is a leaf.
                         large[best["tree"], child] = centre + best[f"sum_{side}"] / best[f"weight_{side}"]
                         if depth < self.depth:
@@ -496,11 +640,13 @@ class DeepForestModel(Model, MLWritable, MLReadable):
         if dataset.isStreaming:
             return dataset.withColumn("prediction", self._whole()(cell))
         celled = dataset.withColumn("_cell", cell)
-        asked = celled.select(F.col("_cell").alias("cell")).distinct().mapInArrow(_asked(tops, d), "group int, cells binary")
+        # In order, so that a task that runs again makes the same blocks.
+        cells = celled.select(F.col("_cell").alias("cell")).distinct().sortWithinPartitions("cell")
+        asked = cells.mapInArrow(_asked(tops, d), ASKED)
         subtrees = dataset.sparkSession.read.parquet(self.path).drop("gains")
         values = (asked.groupBy("group").cogroup(subtrees.groupBy("group"))
-                  .applyInArrow(_answered(d), "_cell binary, value long")
-                  .groupBy("_cell").agg((F.sum("value") / F.count("*") / F.lit(scale)).alias("prediction")))
+                  .applyInArrow(_answered(set(tops[0][3].tolist()), d), ANSWERED).groupBy("block")
+                  .applyInArrow(_scored(scale, d), "_cell binary, prediction double"))
         return celled.join(values, "_cell", "left").select(*dataset.columns, "prediction")
 
     def _whole(self):

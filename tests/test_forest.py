@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,51 @@ def test_large_leaves_that_no_split_helps(spark, monkeypatch):
     found = {r.x0: r.prediction for r in score(model, rows).select("x0", "prediction").distinct().collect()}
     means = {r.x0: r.m for r in rows.groupBy("x0").agg(F.avg("y").alias("m")).collect()}
     assert found == pytest.approx(means, abs=0.1)
+
+
+def test_rows_of_one_set_of_bins_are_one_entry(spark, monkeypatch):
+    # 40 sets of bins: a group takes them whatever the rows, and no node needs rounds over all of them.
+    monkeypatch.setattr(forest, "GROUP_ROWS", 100)
+    rows = spark.range(4000).selectExpr("cast(id as string) as product_id", "double(id % 8) as x0", "double(id % 5) as x1", "1.0D as x2",
+                                        "double(id % 8 * 3 + id % 5 + id % 3) as y")
+    model = fit_model(rows, "Random Forest", X, "y", {"n_estimators": 50})
+    assert all(len(top[0]) == 1 for top in model.stages[-1]._tops())
+    found = {(r.x0, r.x1): r.prediction for r in score(model, rows).select("x0", "x1", "prediction").distinct().collect()}
+    means = {(r.x0, r.x1): r.m for r in rows.groupBy("x0", "x1").agg(F.avg("y").alias("m")).collect()}
+    assert len(found) == 40 and found == pytest.approx(means, abs=0.1)
+
+
+def test_entries_hold_what_a_tree_draws():
+    rng = np.random.default_rng(2)
+    cells, y = rng.integers(0, 3, (500, 2)).astype(np.uint8), rng.integers(0, 9, 500).astype(float)
+    order = np.lexsort((y, cells[:, 1], cells[:, 0]))
+    cells, y = cells[order], y[order]
+    start = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)])
+    parts = (cells[start], np.diff(np.r_[start, 500]).astype(np.int32), y)
+    batch = pa.record_batch({"first": pa.array([7 << 33]), **{n: pa.array([x.tobytes()], pa.binary())
+                                                              for n, x in zip(("cells", "sizes", "targets"), parts)}})
+    [block] = forest._blocks(iter([batch]), 2)
+    copies = forest._copies(np.arange(7 << 33, (7 << 33) + 500), 3, 42)
+    for place, weight, total, low, high in zip(*block.drawn(3, 42)):
+        here = (cells == block.cells[place]).all(axis=1) & (copies > 0)
+        assert (weight, total, low, high) == (copies[here].sum(), (copies * y)[here].sum(), y[here].min(), y[here].max())
+    # Packed for its group and unpacked again, an entry is the same.
+    one = [(*(np.array(x) for x in ([-1], [0], [0], [0], [0])),)]
+    sent = pa.Table.from_batches(forest._deal(one, 2, 42)(iter([batch])))
+    got = forest._entries(sent, 2)
+    place, weight, total, low, high = block.drawn(0, 42)
+    assert all((a == b).all() for a, b in zip(got, (block.cells[place], weight, low, high, total)))
+
+
+def test_splits_by_sums_and_by_sorting_agree(monkeypatch):
+    rng = np.random.default_rng(4)
+    cells = np.unique(rng.integers(0, (60, 9, 128), (3000, 3)).astype(np.uint8), axis=0)
+    w, t = rng.integers(1, 5, len(cells)).astype(float), rng.integers(-50, 50, len(cells)).astype(float)
+    grown = []
+    for dense, piece in ((0, 1 << 16), (1 << 30, 1 << 16), (48, 100)):
+        monkeypatch.setattr(forest, "DENSE", dense)
+        monkeypatch.setattr(forest, "PIECE_ROWS", piece)
+        grown.append(forest._grow(cells, w, t * w, t, t, 30, 1))
+    for (feature, split, below), values, gains in grown[1:]:
+        assert (feature == grown[0][0][0]).all() and (split == grown[0][0][1]).all() and (below == grown[0][0][2]).all()
+        assert np.allclose(values, grown[0][1]) and np.allclose(gains, grown[0][2])
