@@ -1,8 +1,9 @@
 """Boosted trees of bounded depth, fitted by passes over packed rows.
 
 The built-in learner keeps every row as several objects and its residual as another, which each tree makes anew. Here
-features are cut into bins, and rows are packed in blocks: a byte per bin and a number for what the trees so far leave of
-the target. All tasks sum up their blocks by node and bin, once for each level of a tree, and only the chosen splits reach
+features are cut into bins. Rows of one set of bins fall into one leaf of every tree, so they are one entry, with their
+number and the sum of what the trees so far leave of their targets; entries are packed in blocks, a byte per bin and two
+numbers. All tasks sum up their blocks by node and bin, once for each level of a tree, and only the chosen splits reach
 the driver. The trees are those of the built-in learner: the first counts in full, and each later one is fitted to twice
 the residual, the gradient of the squared error, and counts by the rate.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from priceloom.operators.forest import BEST, BINS, SUMS, _best, _bins_of, _from_binary, _stretches, _thresholds
 from priceloom.session import checkpointed
 
-#: Rows in a block, and in a task of a pass at most.
+#: Entries in a block, and in a task of a pass at most.
 BLOCK_ROWS, TASK_ROWS = 1 << 16, 1 << 22
 #: Residuals follow from those before the last tree, and after so many trees from the target again, which keeps lineage short.
 CHAINED = 25
@@ -34,7 +35,7 @@ DRIVER_BYTES = 16 << 20
 #: A tree with more inner nodes is walked level by level, others node by node.
 FEW_NODES = 40
 
-BLOCKS = "cells binary, residual binary"
+BLOCKS = "cells binary, residual binary, weight binary"
 TREES = "tree int, feature array<int>, split array<int>, below array<int>, value array<double>"
 
 
@@ -64,37 +65,40 @@ def _place(tree: Tree, cells: np.ndarray) -> np.ndarray:
     return at
 
 
-def _packed(d: int, centre: float):
-    """Blocks of rows ``(cell, y)``."""
+def _packed(d: int):
+    """Blocks of entries ``(cell, total, n)``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _stretches(batches):
-            cells, y = _from_binary(batch.column("cell"), d), batch.column("y").to_numpy() - centre
-            for i in range(0, len(y), BLOCK_ROWS):
-                yield _block(np.ascontiguousarray(cells[i:i + BLOCK_ROWS].T), y[i:i + BLOCK_ROWS])
+            cells, total, n = _from_binary(batch.column("cell"), d), batch.column("total").to_numpy(), batch.column("n").to_numpy()
+            for i in range(0, len(n), BLOCK_ROWS):
+                j = i + BLOCK_ROWS
+                yield _block(np.ascontiguousarray(cells[i:j].T), total[i:j], n[i:j])
 
     return rows
 
 
-def _block(cells: np.ndarray, residual: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (cells, residual)], ["cells", "residual"])
+def _block(cells: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
+    columns = (cells, *numbers)
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], ["cells", "residual", "weight"][:len(columns)])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bins feature by feature and the numbers of each block."""
     for batch in batches:
-        for cells, residual in zip(batch.column("cells"), batch.column("residual")):
-            yield np.frombuffer(cells.as_buffer(), np.uint8).reshape(d, -1), np.frombuffer(residual.as_buffer())
+        for cells, *numbers in zip(*batch.columns):
+            yield np.frombuffer(cells.as_buffer(), np.uint8).reshape(d, -1), *(np.frombuffer(x.as_buffer()) for x in numbers)
 
 
 def _after(trees: list[Tree], d: int):
     """Blocks with what some more trees leave."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cells, residual in _blocks(batches, d):
+        for cells, residual, weight in _blocks(batches, d):
             left = residual.copy()
             for tree in trees:
-                left -= tree.value[_place(tree, cells)]
-            yield _block(cells, left)
+                left -= tree.value[_place(tree, cells)] * weight
+            yield _block(cells, left, weight)
 
     return rows
 
@@ -108,11 +112,11 @@ def _sums(number: int, tree: Tree, active: list[int], d: int):
         slot = np.full(len(tree.feature), len(active), np.int64)
         slot[active] = np.arange(len(active))
         total = np.zeros((2, slots, d, BINS))
-        for cells, residual in _blocks(batches, d):
+        for cells, residual, weight in _blocks(batches, d):
             seen, first = True, (slot * BINS)[_place(tree, cells)]
             for f in range(d):
                 index = first + cells[f]
-                for k, values in enumerate((None, residual)):
+                for k, values in enumerate((weight, residual)):
                     total[k, :, f] += np.bincount(index, values, slots * BINS).reshape(-1, BINS)
         if seen:
             n = len(active)
@@ -134,11 +138,14 @@ class BoostedTrees(Estimator):
     def _fit(self, dataset: DataFrame) -> "BoostedTreesModel":
         rows = dataset.select(vector_to_array("_features").alias("_x"), F.col(self.label).cast("double").alias("_y"))
         d = len(dataset.select("_features").first()[0]) if not dataset.isEmpty() else 0
-        thresholds, n_rows, _ = _thresholds(rows, d)
+        thresholds, _, _ = _thresholds(rows, d)
         centre = rows.agg(F.avg("_y")).first()[0]
-        binned = rows.select(_bins_of(thresholds)("_x").alias("cell"), F.col("_y").alias("y"))
-        tasks = max(min(dataset.sparkSession.sparkContext.defaultParallelism, -(-n_rows // BLOCK_ROWS)), -(-n_rows // TASK_ROWS))
-        base = checkpointed(binned.mapInArrow(_packed(d, centre), BLOCKS).repartition(tasks))
+        binned = rows.select(_bins_of(thresholds)("_x").alias("cell"), (F.col("_y") - centre).alias("y"))
+        entries = binned.groupBy("cell").agg(F.sum("y").alias("total"), F.count("*").cast("double").alias("n"))
+        packed = checkpointed(entries.mapInArrow(_packed(d), BLOCKS))
+        n = int(packed.agg(F.sum(F.octet_length("weight") / 8)).first()[0])
+        tasks = max(min(dataset.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK_ROWS)), -(-n // TASK_ROWS))
+        base = checkpointed(packed.repartition(tasks))
         trees, gains, left, before = [], np.zeros(d), None, None
         try:
             for number in range(self.trees):

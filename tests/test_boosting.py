@@ -1,4 +1,7 @@
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -92,3 +95,16 @@ def test_one_value_and_what_cannot_be_fitted(stepped):
                 stepped.withColumn("x1", F.lit(None).cast("double"))):
         with pytest.raises(Exception):
             fit_model(bad, "Gradient Boosting", X, "y", {"n_estimators": 50})
+
+
+def test_rows_of_one_set_of_bins_are_one_entry(stepped, model):
+    cells, n, total = np.array([[0, 1], [2, 1]], np.uint8), np.array([3.0, 1.0]), np.array([6.0, -2.0])
+    batch = pa.record_batch({"cell": pa.array([bytes(c) for c in cells], pa.binary()), "total": total, "n": n})
+    blocks = list(boosting._packed(2)(iter([batch])))
+    tree = boosting.Tree(np.array([0, -1, -1], np.int16), np.array([1, 0, 0], np.uint8), np.array([1, 0, 0], np.uint16), np.array([0.0, 0.5, -2.0]))
+    [(_, left, weight)] = boosting._blocks(boosting._after([tree], 2)(iter(blocks)), 2)
+    assert (weight == n).all() and (left == [6.0 - 3 * 0.5, -2.0 + 2.0]).all()
+    # Rows that come four times make the same trees of as many entries, whatever their order.
+    four = reduce(type(stepped).unionByName, [stepped] * 4).repartition(7)
+    again = fit_model(four, "Gradient Boosting", X, "y", {"n_estimators": 50})
+    assert np.isclose(predicted(again, stepped), predicted(model, stepped)).mean() > 0.95
