@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,39 @@ def test_neighbours_at_any_scale(spark, scale):
     got = as_rows(nearest_documents(corpus.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id"), corpus, 3))
     expected = brute({i: (points[i], 3) for i in range(0, 1200, 10)}, dict(enumerate(points)), 3)
     assert [g[:3] for g in got] == [e[:3] for e in expected]
+
+
+def test_blocks_are_prepared_once(monkeypatch):
+    """Not for every share of the questions, and the questions not for every block of documents."""
+    rng = np.random.default_rng(8)
+    prepared, rounded = [], retrieval._rounded
+    monkeypatch.setattr(retrieval, "_rounded", lambda vectors, *more: prepared.append(len(vectors)) or rounded(vectors, *more))
+    monkeypatch.setattr(retrieval, "SCORES_AT_ONCE", 90)
+
+    def block(n, **more):
+        return pa.table({**more, "embedding": pa.array(rng.normal(size=(n, 4)).astype(np.float32).tolist(), pa.list_(pa.float32()))})
+
+    questions = block(50, number=np.arange(50), query_id=np.arange(50), top_k=np.full(50, 3))
+    documents, found = [block(30, doc_id=np.arange(30) + 100 * i) for i in range(4)], None
+    for part in documents:
+        found = retrieval._nearest_of_blocks(questions, part, found)
+    assert sorted(prepared) == [30, 30, 30, 30, 50]
+    q, c = (np.array(t.column("embedding").to_pylist()) for t in (questions, pa.concat_tables(documents)))
+    ids = np.concatenate([t.column("doc_id").to_numpy() for t in documents])
+    nearest = ids[np.argsort(((q[:, None] - c) ** 2).sum(axis=2), axis=1)[:, :3]]
+    assert (found.column("doc_id").to_numpy().reshape(50, 3) == nearest).all()
+
+
+def test_few_distances_decide():
+    """Exact distances are computed for about as many documents as are asked for, also where no bound is known."""
+    rng = np.random.default_rng(9)
+    q, c, limits = rng.normal(size=(40, 8)), rng.normal(size=(3000, 8)), rng.integers(1, 6, 40)
+    c[7] = c[2000]
+    q_norm, c_norm, slack = (q**2).sum(axis=1), (c**2).sum(axis=1), 48 * 2.0**-23
+    wide = [retrieval._rounded(x, last, np.float32) for x, last in ((q, 1.0), (c, c_norm * (slack - 0.5)))]
+    i, j = retrieval._close(wide[0], q_norm, wide[1], c_norm, limits, np.full(40, np.inf), slack)
+    assert len(i) < 2 * limits.sum()
+    distance = ((q[:, None] - c) ** 2).sum(axis=2)
+    for question, limit in enumerate(limits):
+        last = np.sort(distance[question])[limit - 1]
+        assert set(np.flatnonzero(distance[question] <= last)) <= set(j[i == question])
